@@ -113,11 +113,9 @@ def byte_level(path: str) -> RunEncoder:
         shape = piece.replace(" ", space) if plain.fullmatch(piece) else piece.encode().decode("latin-1").translate(shown)
         return array(code, [t.id for t in tokenize(shape)]).tobytes()
 
-    known = Memo(one)
-
     def encode(run: str) -> bytes:
-        if len(known) > MEMO_RUNS:
-            known.clear()
-        return b"".join(map(known.__getitem__, pieces(run)))
+        found = pieces(run)
+        return one(run) if len(found) == 1 else b"".join(map(made.memo.__getitem__, found))  # a pre-token is a run too
 
-    return RunEncoder(split, encode, id_dtype(size))
+    made = RunEncoder(split, encode, id_dtype(size))
+    return made
