@@ -30,8 +30,8 @@ def counts_per_window(requests: DataFrame, window: str = "10 minutes", late: str
     return requests.withWatermark("ts", late).groupBy(F.window("ts", window), "user_id").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "user_id", "n")
 
 
-def admit_stream(requests: DataFrame, seconds: int = 600, per_user: int = 5) -> DataFrame:
-    """event_id, user_id, allowed for a stream: one counter for each user, kept as state, forgotten after its window."""
+def admit_stream(requests: DataFrame, seconds: int = 600, per_user: int = 5, late: str = "1 hour") -> DataFrame:
+    """event_id, user_id, allowed for a stream: one counter for each user, kept as state, forgotten when the watermark has passed its window."""
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -47,9 +47,9 @@ def admit_stream(requests: DataFrame, seconds: int = 600, per_user: int = 5) ->
                 allowed.append(count <= per_user)
             yield pd.DataFrame({"event_id": frame["event_id"], "user_id": key[0], "allowed": allowed})
         state.update((number, count))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max((number + 1) * seconds * 1000, state.getCurrentWatermarkMs() + 1))
 
-    return requests.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, allowed boolean", "number long, count long", "append", "ProcessingTimeTimeout")
+    return requests.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, allowed boolean", "number long, count long", "append", "EventTimeTimeout")
 
 
 def progress(events: DataFrame) -> DataFrame:

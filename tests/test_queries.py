@@ -87,9 +87,8 @@ def test_stream_admits_like_the_batch(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "user_id", "cast(ts as timestamp) ts")
     events.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    q = admit_stream(stream, 86400, 1).writeStream.outputMode("append").format("memory").queryName("admitted").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = admit_stream(stream, 86400, 1).writeStream.outputMode("append").format("memory").queryName("admitted").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
     got = {r["event_id"]: r["allowed"] for r in spark.sql("SELECT * FROM admitted").collect()}
     want = {r["event_id"]: r["user_ok"] for r in admitted(events, 86400, 1, 10**9).collect()}
     assert got == want
