@@ -18,3 +18,18 @@ def page_findings(pages: DataFrame) -> DataFrame:
 def summary(pages: DataFrame) -> DataFrame:
     """agent, n, score, evaluated of an audit without source code."""
     return ops.domain_scores(page_findings(pages)).select("agent", "n", "score", "evaluated")
+
+
+def isolated(spark, runners: dict, scope: DataFrame) -> DataFrame:
+    """agent, rule, severity of every agent; one whose plan can't be made gives one finding that says so.
+
+    runners: agent to a function of the scope that returns rule and severity.
+    """
+    found = spark.createDataFrame([], "agent string, rule string, severity string")
+    for agent, run in runners.items():
+        try:
+            rows = run(scope).select(F.lit(agent).alias("agent"), "rule", "severity")
+        except Exception:  # noqa: BLE001  an agent's fault is a finding
+            rows = spark.createDataFrame([(agent, "agent-error", "info")], found.schema)
+        found = found.unionByName(rows)
+    return found

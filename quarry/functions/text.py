@@ -83,3 +83,14 @@ def target(raw: Column) -> tuple[Column, Column]:
     host = F.lower(F.regexp_extract(full, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
     inside = host.rlike(BLOCKED_HOST) | host.rlike(PRIVATE_ADDRESS) | host.rlike(PRIVATE_SIX)
     return host, F.when((text == "") | (host == ""), "empty").when(~full.rlike("(?i)^https?://"), "scheme").when(inside, "host").otherwise("ok")
+
+
+def clone_url(url: Column) -> Column:
+    """The address a public repository is cloned from, ending in .git; null for all that isn't a plain https address."""
+    return F.when(url.rlike(r"^https://[A-Za-z0-9_.-]+/[A-Za-z0-9_./-]+\z"), F.concat(F.regexp_replace(url, r"\.git$", ""), F.lit(".git")))
+
+
+def client(headers: Column) -> Column:
+    """Who asks: the address the edge saw, else the first that was forwarded, else `unknown`; headers: a map."""
+    told = lambda name: F.nullif(F.trim(F.get(F.split(F.coalesce(F.try_element_at(headers, F.lit(name)), F.lit("")), ","), F.lit(0))), F.lit(""))
+    return F.coalesce(F.nullif(F.try_element_at(headers, F.lit("x-nf-client-connection-ip")), F.lit("")), told("x-forwarded-for"), F.lit("unknown"))

@@ -113,6 +113,21 @@ def roadmap(findings: DataFrame) -> DataFrame:
     return findings.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.round(F.sum("effort"), 1).alias("effort_days"))
 
 
+def by_tier(findings: DataFrame) -> DataFrame:
+    """tier, n: P0 for critical findings to P3 for low ones and information."""
+    tier = literal_map({"critical": "P0", "high": "P1", "medium": "P2", "low": "P3", "info": "P3"})[F.col("severity")]
+    return findings.groupBy(tier.alias("tier")).agg(F.count("*").alias("n"))
+
+
+def active_agents(scopes: DataFrame) -> DataFrame:
+    """site, agent of the agents that apply to a site; scopes: site, repo, database. Unknown counts as no."""
+    has = {"hasRepo": "repo", "hasDatabase": "database"}
+    apt = F.lit(True)
+    for activation, fact in has.items():
+        apt = F.when(F.col("activation") == activation, F.coalesce(F.col(fact), F.lit(False))).otherwise(apt)
+    return scopes.join(F.broadcast(model.agents(scopes.sparkSession)), how="cross").where(apt).select("site", "agent")
+
+
 def worth_telling(findings: DataFrame, least: str = "high", k: int = 15) -> DataFrame:
     """The k worst findings of at least a severity."""
     return top(findings.where(rank("severity", 0) >= model.SEVERITY[least][0]), k)

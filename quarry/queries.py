@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quarry import audit, model
 from quarry.functions import text as txt
-from quarry.operators import audits, findings, links
-from quarry.plans import line_rules, page_rules, response_rules
+from quarry.operators import audits, contrast, findings, links
+from quarry.plans import dependency_rules, line_rules, page_rules, response_rules
+from quarry.sinks import writers
 from quarry.sources import readers
 from quarry.streaming import quota
 
@@ -474,6 +475,101 @@ def contrast_ratio(spark, sf_dir):
     return spark.sql(_COL).select("fg", "bg", F.round(txt.contrast(lum("fg"), lum("bg")), 3).alias("ratio"))
 
 
+_STYLED = """<html><head><style>/* x */ @import url(a.css); p.note, #top { color:#777 } @media print { .dim { color: rgba(0,0,0,.4); } }
+.big { font-size: 30px; color: #949494 } div.box { background: #333 url(x.png); } div p:hover { color:red }</style></head>
+<body><p class="note">Grey words here</p><p class="note">More grey words</p><!-- <p class="note">gone</p> --><p class="dim">Half seen</p>
+<h1 class="big">A large heading</h1><div class="box"><p style="color:#555">Dark on dark<br>still dark</p><b>Black inside</b></div>
+<p id="top" class="note" style="color:white">Hidden</p><p>Plain text<pre class="note">code</pre></i></body></html>"""
+_LINKED = """<body class="page"><link rel="stylesheet" href="/s.css"><link rel="stylesheet" href="https://other.io/t.css"><p>Some linked text</p></body>"""
+_PAIRS = "(1, '#999999', '#ffffff', false, 4.5, 1, 'p.dim: Half seen', 'medium'), (1, '#000000', '#333333', false, 4.5, 1, 'b: Black inside', 'high'), (1, '#555555', '#333333', false, 4.5, 1, 'p: Dark on dark still dark', 'high'), (1, '#777777', '#ffffff', false, 4.5, 2, 'p.note: Grey words here', 'medium'), (2, '#808080', '#ffffe0', false, 4.5, 1, 'p: Some linked text', 'medium')"
+
+
+@query(f"WITH v(page_id, fg, bg, large, least, n, example, severity) AS (VALUES {_PAIRS}), l AS (SELECT *, {_LUM('fg')} AS a, {_LUM('bg')} AS b FROM v), r AS (SELECT *, round((greatest(a, b) + 0.05) / (least(a, b) + 0.05), 2) AS ratio FROM l) SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY ratio) AS place, fg, bg, large, ratio, CAST(least AS DOUBLE) AS least, n, example, severity, CASE severity WHEN 'high' THEN 'confirmed' ELSE 'plausible' END AS verdict FROM r")
+def low_contrast(spark, sf_dir):
+    pages = spark.createDataFrame([(1, "https://a.io/", _STYLED), (2, "https://b.io/x", _LINKED), (3, "https://c.io/", None)], "page_id long, url string, html string")
+    sheets = spark.createDataFrame([("https://b.io/s.css", ".page { background-color: #ffffe0; color: gray }"), ("https://other.io/t.css", "p { color: #000 }")], "url string, css string")
+    return contrast.weak_pairs(pages, sheets)
+
+
+_AD = "div.ad { color: #767676; background-color: #eee } li { color: rgb(60%, 60%, 60%) } "
+
+
+@query(
+    rf"""WITH p AS (SELECT page_id, regexp_replace(html, '<!--[\s\S]*?-->|<script[\s\S]*?</script>', '', 'g') AS html FROM pages),
+    a AS (SELECT page_id, regexp_extract_all(html, '<div class="ad">([^<]*)<', 1) AS found, '#767676' AS fg, '#eeeeee' AS bg FROM p
+      UNION ALL SELECT page_id, regexp_extract_all(html, '<li><a [^>]*>([^<]*)<', 1), '#999999', '#ffffff' FROM p),
+    l AS (SELECT *, {_LUM('fg')} AS a, {_LUM('bg')} AS b FROM a),
+    n AS (SELECT page_id, fg, bg, round((greatest(a, b) + 0.05) / (least(a, b) + 0.05), 2) AS ratio, len(list_filter(found, lambda x: length(trim(x)) >= 3 AND regexp_matches(x, '[A-Za-z0-9]'))) AS n FROM l)
+    SELECT page_id, fg, bg, ratio, n FROM n WHERE n > 0"""
+)
+def page_contrast(spark, sf_dir):
+    """The pages as a house style would colour them."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.lit(f"<style>{_AD}</style>"), "html").alias("html"))
+    return contrast.weak_pairs(pages).select("page_id", "fg", "bg", "ratio", "n")
+
+
+_REPO, _REPO_CTE = values("repo", "file, text", """('package.json', '{"dependencies":{"left":"^1.2.3","right":"2.0"},"devDependencies":{"left":"^1.2.3","up":"*"}}'), ('web/package.json', '{"dependencies":{"right":"~3.1.0"}}'), ('web/yarn.lock', ''), ('bad/package.json', 'no json'), ('src/en.json', '{}')""")
+_ADV, _ADV_CTE = values("adv", "advisory, name, introduced, fixed, severity", "('A-1', 'left', '1.0.0', '1.2.4', 'high'), ('A-2', 'left', '1.2.4', CAST(NULL AS VARCHAR(9)), 'low'), ('A-3', 'right', CAST(NULL AS VARCHAR(9)), '3.1', 'critical')")
+
+
+@query("SELECT * FROM (VALUES ('', 'missing-lockfile'), ('/bad', 'missing-lockfile')) t(folder, rule)")
+def missing_lockfiles(spark, sf_dir):
+    return dependency_rules.unlocked(spark.sql(_REPO))
+
+
+@query("SELECT * FROM (VALUES ('package.json', 'left', '^1.2.3', 'A-1', 'high', '1.2.4'), ('package.json', 'right', '2.0', 'A-3', 'critical', '3.1')) t(file, name, wanted, advisory, severity, fixed)")
+def vulnerable_packages(spark, sf_dir):
+    return dependency_rules.vulnerable(dependency_rules.packages(spark.sql(_REPO)), spark.sql(_ADV))
+
+
+_JSON, _JSON_CTE = values("files", "file, text", """('locales/en.json', '{"a":{"b":"x","c":{"d":[1,2],"e":null}},"f":1}'), ('locales/fr.json', '{"a":{"b":"y"},"f":{}}'), ('locales/de.json', '[broken'), ('data.json', '{"a":1}')""")
+
+
+@query("SELECT * FROM (VALUES ('locales/en.json', 'a.b'), ('locales/en.json', 'a.c.d'), ('locales/en.json', 'a.c.e'), ('locales/en.json', 'f'), ('locales/fr.json', 'a.b')) t(file, key)")
+def locale_keys(spark, sf_dir):
+    return readers.locale_keys(spark.sql(_JSON))
+
+
+_URL, _URL_CTE = values("urls", "url", "('https://x.org/a/b'), ('https://x.org/a/b.git'), ('http://x.org/a'), ('https://x.org/a;rm'), ('git@x.org:a/b'), (CAST(NULL AS VARCHAR(9)))")
+
+
+@query(rf"WITH {_URL_CTE} SELECT url, CASE WHEN regexp_full_match(url, 'https://[\w.-]+/[\w./-]+') THEN concat(regexp_replace(url, '\.git$', ''), '.git') END AS clone FROM urls")
+def clone_urls(spark, sf_dir):
+    return spark.sql(_URL).select("url", txt.clone_url(F.col("url")).alias("clone"))
+
+
+@query("SELECT * FROM (VALUES (1, '9.9.9.9'), (2, '1.1.1.1'), (3, 'unknown'), (4, 'unknown')) t(id, client)")
+def clients(spark, sf_dir):
+    rows = [(1, {"x-nf-client-connection-ip": "9.9.9.9", "x-forwarded-for": "1.1.1.1"}), (2, {"x-forwarded-for": " 1.1.1.1 , 2.2.2.2"}), (3, {"x-forwarded-for": ""}), (4, {})]
+    return spark.createDataFrame(rows, "id int, headers map<string,string>").select("id", txt.client(F.col("headers")).alias("client"))
+
+
+@query("SELECT event_id, CAST(greatest(1, ceil(((floor((epoch_us(ts) // 1000) / 600000) + 1) * 600000 - (epoch_us(ts) // 1000)) / 1000)) AS BIGINT) AS wait FROM events")
+def retry_after(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", quota.retry_after("ts").alias("wait"))
+
+
+@query(f"WITH f AS ({FINDINGS}) SELECT CASE severity WHEN 'critical' THEN 'P0' WHEN 'high' THEN 'P1' WHEN 'medium' THEN 'P2' ELSE 'P3' END AS tier, count(*) AS n FROM f GROUP BY 1")
+def report_tiers(spark, sf_dir):
+    return findings.by_tier(order_findings(spark, sf_dir))
+
+
+_SCO, _SCO_CTE = values("sco", "site, repo, database", "('a', true, true), ('b', true, CAST(NULL AS BOOLEAN)), ('c', false, false)")
+
+
+@query("SELECT * FROM (VALUES ('a', 15), ('b', 14), ('c', 13)) t(site, agents)")
+def active_agents(spark, sf_dir):
+    return findings.active_agents(spark.sql(_SCO)).groupBy("site").agg(F.count("*").alias("agents"))
+
+
+_FIX = "SELECT seq, rule, severity, verdict, file, fix FROM VALUES (1, 'no-robots', 'low', 'confirmed', CAST(NULL AS STRING), 'add it'), (2, 'js-eval', 'high', 'confirmed', 'a.js', 'parse'), (3, 'old', 'high', 'rejected', 'a.js', 'none') AS t(seq, rule, severity, verdict, file, fix)"
+
+
+@query(r"SELECT * FROM (VALUES ('AUDIT.md', concat('# Audit', chr(10), chr(10), '## a.js', chr(10), chr(10), 'parse', chr(10), chr(10), '## general', chr(10), chr(10), 'add it', chr(10)))) t(path, content)")
+def pull_request_files(spark, sf_dir):
+    return writers.added_files(spark.sql(_FIX), spark.sql("SELECT 'robots.txt' AS path"), "https://a.io/")
+
+
 @query("SELECT * FROM (VALUES ('scanner:eval-use', 'high', 'a.js', 3, 'CWE-95', 'eval(x)'), ('scanner:odd', 'medium', 'b.py', 1, NULL, 'y')) t(rule, severity, file, line, cwe, match)")
 def scanner_report(spark, sf_dir):
     report = """{"results":[{"check_id":"js.eval-use","path":"a.js","start":{"line":3},"extra":{"lines":"eval(x)","severity":"ERROR","metadata":{"cwe":["CWE-95: eval"]}}},{"check_id":"odd","path":"b.py","start":{"line":1},"extra":{"lines":"y","severity":"OTHER","metadata":{"cwe":[]}}}]}"""

@@ -49,3 +49,17 @@ def report(domains: DataFrame, title: str) -> str:
 def without_fixes(findings: DataFrame) -> DataFrame:
     """What the free tier shows."""
     return findings.drop("fix")
+
+
+def added_files(findings: DataFrame, existing: DataFrame, site: str) -> DataFrame:
+    """path, content of the files a pull request adds; a path that exists is never written over.
+
+    findings: rule, severity, verdict, file, seq, fix; existing: path.
+    """
+    from quarry.operators.audits import fixes_by_file
+
+    section = F.concat(F.lit("## "), "file", F.lit("\n\n"), "fixes", F.lit("\n"))
+    body = fixes_by_file(findings).agg(F.array_join(F.array_sort(F.collect_list(section)), "\n").alias("body"))
+    report = body.where("body <> ''").select(F.lit("AUDIT.md").alias("path"), F.concat(F.lit("# Audit\n\n"), "body").alias("content"))
+    robots = findings.where("rule = 'no-robots'").select(F.lit("robots.txt").alias("path"), F.lit(f"User-agent: *\nAllow: /\n\nSitemap: {site.rstrip('/')}/sitemap.xml\n").alias("content")).distinct()
+    return report.unionByName(robots).join(existing.select("path"), "path", "left_anti")

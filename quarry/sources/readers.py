@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,10 @@ SKIPPED = r"/(node_modules|\.git|dist|build|\.next|out|coverage|vendor)/"
 EXTENSIONS = ("js", "ts", "jsx", "tsx", "mjs", "cjs", "py", "rb", "php", "go", "java", "html", "vue", "svelte", "json", "yml", "yaml", "toml", "sql", "prisma", "sh", "env", "ini", "cfg")
 LANGUAGE = {"js": "js", "mjs": "js", "cjs": "js", "jsx": "jsx", "ts": "ts", "tsx": "tsx", "py": "py", "php": "php", "html": "html", "env": "env"}
 LARGEST = 1_000_000
+DATABASES = r"(?i)prisma|pg(?![0-9A-Za-z_])|mysql|mongoose|mongodb|sequelize|typeorm|drizzle|knex|@supabase|sqlite"
+MAILERS = r"(?i)nodemailer|@sendgrid|resend|postmark|mailgun|@aws-sdk/client-ses"
+LOCALE = r"(?i)(?:^|/)(en|fr|de|es|it|nl|pt|locales?|i18n|lang|translations?)[/.]"
+LARGEST_LOCALE = 500_000
 
 SCANNER = "results array<struct<check_id:string,path:string,start:struct<line:int>,extra:struct<lines:string,message:string,severity:string,metadata:struct<cwe:array<string>,fix:string>>>>"
 AXE = "violations array<struct<id:string,impact:string,help:string,tags:array<string>,nodes:array<struct<target:array<string>,failureSummary:string>>>>"
@@ -61,4 +68,33 @@ def packages(files: DataFrame) -> DataFrame:
     """file, uses_database, sends_email by the names in package.json files; files: file, text."""
     deps = F.from_json("text", "dependencies map<string,string>, devDependencies map<string,string>")
     names = F.array_join(F.array_union(F.coalesce(F.map_keys(deps["dependencies"]), F.array().cast("array<string>")), F.coalesce(F.map_keys(deps["devDependencies"]), F.array().cast("array<string>"))), " ")
-    return files.select("file", names.rlike(r"(?i)prisma|mongoose|sequelize|typeorm|knex|pg\b|mysql|sqlite|drizzle|supabase|redis").alias("uses_database"), names.rlike(r"(?i)nodemailer|sendgrid|resend|mailgun|postmark|mailjet").alias("sends_email"))
+    return files.select("file", names.rlike(DATABASES).alias("uses_database"), names.rlike(MAILERS).alias("sends_email"))
+
+
+def locale_keys(files: DataFrame, largest: int = LARGEST_LOCALE) -> DataFrame:
+    """file, key of the JSON files that hold translations: the dotted path of each leaf, where lists are leaves.
+
+    Files that aren't JSON objects have no keys; files: file, text.
+    """
+    kept = files.where(F.col("file").rlike(LOCALE) & F.col("file").rlike(r"\.json$") & (F.octet_length("text") <= largest)).select("file", "text")
+
+    def leaves(text: str):
+        try:
+            whole = json.loads(text)
+        except ValueError:
+            return
+        open_ = [("", whole)] if isinstance(whole, dict) else []
+        while open_:
+            path, value = open_.pop()
+            if isinstance(value, dict):
+                open_ += [(f"{path}.{k}" if path else k, v) for k, v in value.items()]
+            else:
+                yield path
+
+    def read(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys = list(dict.fromkeys(leaves(batch.column(1)[i].as_py())))
+                yield pa.RecordBatch.from_pydict({"file": pa.array([batch.column(0)[i].as_py()] * len(keys), pa.string()), "key": pa.array(keys, pa.string())})
+
+    return kept.mapInArrow(read, "file string, key string")

@@ -25,6 +25,12 @@ def admitted(requests: DataFrame, seconds: int = 600, per_user: int = 5, overall
     return passed.unionByName(ranked.where(F.col("own_rank") > per_user).select("event_id", "window_id", F.lit(False).alias("user_ok"), F.lit(False).alias("allowed")))
 
 
+def retry_after(ts, seconds: int = 600):
+    """Whole seconds until the window of a request ends, at least 1."""
+    at = F.unix_millis(F.col(ts).cast("timestamp"))
+    return F.greatest(F.lit(1), F.ceil(((F.floor(at / (1000 * seconds)) + 1) * 1000 * seconds - at) / 1000)).cast("long")
+
+
 def counts_per_window(requests: DataFrame, window: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """A stream's requests per user and window, with a watermark for late ones."""
     return requests.withWatermark("ts", late).groupBy(F.window("ts", window), "user_id").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "user_id", "n")

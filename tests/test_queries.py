@@ -107,3 +107,96 @@ def test_repository_reader(spark, tmp_path):
     files = readers.repository(spark, str(tmp_path))
     found = line_rules.matches(line_rules.lines(files, "file", "text", "lang"), line_rules.CODE).collect()
     assert [(r["file"][-4:], r["n"], r["rule"]) for r in found] == [("a.js", 1, "js-eval")]
+
+
+def test_colours():
+    from quarry.functions.css import colour
+
+    assert colour(" White ") == (255, 255, 255, 1.0)
+    assert colour("#0f8") == (0, 255, 136, 1.0)
+    assert colour("#11223380") == (17, 34, 51, 128 / 255)
+    assert colour("rgb(10, 20 , 300)") == (10, 20, 255, 1.0)
+    assert colour("rgba(100% 0% 50% / 25%)") == (255, 0, 127, 0.25)  # 50 * 2.55 is a little under 127.5
+    for other in (None, "", "inherit", "hsl(1,2%,3%)", "var(--x)", "#12", "#12345", "rgb(var(--x))", "rgb(1,2)", "linear-gradient(red, blue)"):
+        assert colour(other) is None
+
+
+def test_cascade():
+    from quarry.functions.css import Cascade
+
+    c = Cascade(["p{color:a} .x{color:b} p.x.y{color:c} #i{color:d} .x{color:e} ul p{color:z} *{color:z} [a]{color:z}", "@media x{p:hover,b{font-size:9px}}"])
+    of = lambda tag, name=None, *classes: c.of(tag, name, frozenset(classes)).get("color")
+    assert (of("p"), of("b"), of("b", None, "x"), of("p", None, "x", "y"), of("p", "i", "x", "y")) == ("a", None, "e", "c", "d")
+    assert c.of("b", None, frozenset())["font-size"] == "9px"
+
+
+def test_odd_pages_have_boxes():
+    from quarry.operators.contrast import boxes
+
+    for html in ("", "<", "</p></b>", "<p" * 20_000, "<script>" * 20_000, "<b>" * 20_000 + "</i>" * 20_000, "<style>p{color:red", "\0<p style='color:'>é</p>", "<p style=\"font-size:1.2.3px;font-weight:bolder\">x</p>"):
+        boxes(html, [html])
+    every, base = boxes("<html style='background:#000'><body><p>a<b>c</p>d</body></html>", [])
+    assert base == (0, 0, 0, 1.0) and [(b.tag, "".join(b.text)) for b in every] == [("html", ""), ("body", "d"), ("p", "a"), ("b", "c")]
+
+
+@pytest.fixture
+def site():
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            path = urlparse(self.path)
+            status, kind, body = {"/": (200, "text/html", "<p>é</p>"), "/robots.txt": (200, "text/plain", "User-agent: *"), "/logo": (200, "image/png", "x"), "/bad-dns": (500, "text/plain", "")}.get(path.path, (404, "text/plain", "none"))
+            if path.path == "/dns":
+                known = parse_qs(path.query)["name"] == ["a.io"]
+                status, kind, body = 200, "application/json", json.dumps({"Status": 0, "Answer": [{"data": '"v=spf1"'}]} if known else {"Status": 3})
+            self.send_response(status)
+            self.send_header("Content-Type", kind + "; charset=utf-8")
+            self.send_header("Set-Cookie", "a=1")
+            self.send_header("Set-Cookie", "b=2")
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_pages_are_fetched(spark, site):
+    from quarry.sources import fetch
+
+    urls = spark.createDataFrame([(site + "/",), (site + "/no",), (site + "/logo",), ("http://127.0.0.1:1/",), ("ftp://x/",), (None,)], "url string")
+    got = {r["url"]: r for r in fetch.responses(urls, guard=False).collect()}
+    assert len(got) == 6 and got[site + "/"]["body"] == "<p>é</p>" and got[site + "/"]["set_cookie"] == ["a=1", "b=2"] and got[site + "/"]["ttfb_ms"] >= 0
+    assert (got[site + "/no"]["status"], got[site + "/no"]["error"]) == (404, None) and got[site + "/logo"]["body"] == ""
+    assert got["http://127.0.0.1:1/"]["status"] is None and got["ftp://x/"]["error"] == "scheme" and got[None]["error"]
+    guarded = {r["url"]: r["error"] for r in fetch.responses(urls).collect()}
+    assert guarded[site + "/"] == "blocked" and guarded["ftp://x/"] == "scheme" and guarded[None] == "empty"
+    facts = fetch.scope(urls.limit(1), guard=False).first()
+    assert (facts["robots"], facts["sitemap"], facts["robots_body"], facts["status"]) == (True, False, "User-agent: *", 200)
+
+
+def test_names_are_asked_in_order(spark, site):
+    from quarry.sources import fetch
+
+    asked = spark.createDataFrame([("a.io", "TXT"), ("b.io", "TXT")], "name string, type string")
+    got = lambda *paths: {r["name"]: (r["ok"], r["answers"]) for r in fetch.names(asked, tuple(site + p for p in paths)).collect()}
+    assert got("/bad-dns", "/dns") == {"a.io": (True, ["v=spf1"]), "b.io": (True, [])}
+    assert got("/bad-dns") == {"a.io": (False, []), "b.io": (False, [])}
+    cert = fetch.certificates(spark.createDataFrame([("127.0.0.1",)], "host string"), port=1, timeout=1).first()
+    assert cert["valid_to"] is None and cert["error"]
+
+
+def test_a_broken_agent_is_a_finding(spark):
+    from quarry import audit
+
+    scope = spark.createDataFrame([("r", "high")], "rule string, severity string")
+    got = audit.isolated(spark, {"seo": lambda s: s, "geo": lambda s: s.select("nothing")}, scope).collect()
+    assert sorted(map(tuple, got)) == [("geo", "agent-error", "info"), ("seo", "r", "high")]
