@@ -231,7 +231,11 @@ def stars(nodes: DataFrame, radius: int) -> DataFrame:
 
 def components(nodes: DataFrame, radius: int) -> DataFrame:
     """fp, label: the smallest label that links reach, for fingerprints that have links; nodes: distinct fp and its label."""
-    member = checkpoint(stars(nodes, radius))
+    return spread(checkpoint(stars(nodes, radius)))
+
+
+def spread(member: DataFrame) -> DataFrame:
+    """fp, label: the smallest label that stars reach; member: star, fp and its label, written already."""
     edges = member.select("star", "fp")
     best = checkpoint(member.groupBy("fp").agg(F.min("label").alias("label")))
     first = True

@@ -350,6 +350,48 @@ def test_tree_loses_no_link():
         assert where[place[int(a)]] & where[place[int(b)]]
 
 
+def brute_shingles(text):
+    words = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode().lower())
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_near_copies(texts):
+    sets = [brute_shingles(t) for t in texts]
+    group = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                group = [group[j] if g == group[i] else g for g in group]
+    return group
+
+
+def near_texts():
+    import random
+
+    rng = random.Random(8)
+    texts = [t for _, t in TEXTS]
+    for g in range(25):
+        w = [rng.choice([f"w{i}" for i in range(400)]) for _ in range(rng.choice([6, 40, 250]))]
+        for _ in range(6):  # a chain, whose links are above and below the similarity
+            texts.append(" ".join(w))
+            w = list(w)
+            for _ in range(rng.randint(0, max(1, len(w) // 40))):
+                w[rng.randrange(len(w))] = "changed"
+    return texts
+
+
+def test_near_dedup_stage_matches_brute_force_jaccard(spark, empty):
+    import corpus_pipeline
+
+    texts = near_texts()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.unique(spark, df, "").collect())
+    group = brute_near_copies(texts)
+    assert kept == sorted({g: i for i, g in reversed(list(enumerate(group)))}.values())
+    assert len(kept) < len(set(simhash.fingerprint([t or "" for t in texts]).tolist()))
+    assert corpus_pipeline.unique(spark, empty, "").count() == 0
+
+
 def test_backoff(docs, empty):
     got = lm.score(docs, order=3, backoff=0.4, least=2).collect()
     counts, total = {}, 0
