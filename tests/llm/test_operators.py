@@ -198,6 +198,28 @@ def test_toxicity(spark, empty):
     assert toxicity.predict(empty, none).count() == 0
 
 
+def test_toxicity_scores_keep_the_prior_when_a_class_is_sampled(spark):
+    import random
+
+    rng = random.Random(6)
+    vocabulary = [a + b for a in ("ka", "lo", "mi", "ru", "te") for b in ("na", "po", "si", "ve", "zu", "xi")]
+    rows, labels = [], []
+    for i in range(4000):
+        bad = i % 10 == 0
+        w = [rng.choice(vocabulary) for _ in range(rng.randint(5, 40))]
+        if rng.random() < (0.6 if bad else 0.08):  # the classes overlap
+            w[rng.randrange(len(w))] = "scum"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    told = [toxicity.predict(df, toxicity.fit(df, lab, sample=n)).collect() for n in (10_000, 300)]
+    whole, some = (np.mean([r["score"] for r in t]) for t in told)
+    assert abs(whole - 0.1) < 0.02 and abs(some - 0.1) < 0.04
+    scum = [np.mean([r["score"] for r in t if "scum" in rows[r["doc_id"]][1].split()]) for t in told]
+    assert abs(scum[0] - scum[1]) < 0.12
+
+
 def brute_marks(text, k, w):
     import xxhash
 
