@@ -414,6 +414,26 @@ def test_near_dedup_stage_matches_brute_force_jaccard(spark, empty):
     assert corpus_pipeline.unique(spark, empty, "").count() == 0
 
 
+def test_near_dedup_stage_keeps_a_row_of_each_group_on_null_and_repeated_ids(spark):
+    import random
+
+    import corpus_pipeline
+
+    texts = near_texts()
+    rng = random.Random(4)
+    rows = [(rng.choice([None, None, 5, 5, rng.randrange(40)]), t) for t in texts]
+    rows += rows[20:30]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    group = brute_near_copies([t for _, t in rows])
+    of = {r: g for r, g in zip(rows, group)}
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.unique(spark, df, "").collect()]
+    assert sorted(of[r] for r in kept) == sorted(set(group))
+    least = {}
+    for (i, _), g in zip(rows, group):
+        least[g] = min(math.inf if i is None else i, least.get(g, math.inf))
+    assert all((math.inf if i is None else i) == least[of[i, t]] for i, t in kept)
+
+
 def test_backoff(docs, empty):
     got = lm.score(docs, order=3, backoff=0.4, least=2).collect()
     counts, total = {}, 0
