@@ -54,7 +54,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(table(spark, sf_dir, "documents"), order=2, backoff=0.4, least=2)
+    return lm.score(table(spark, sf_dir, "documents"), order=3, backoff=0.4, least=2)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -462,6 +462,13 @@ def test_backoff(docs, empty):
     assert lm.score(empty).count() == 0
 
 
+def test_backoff_query_takes_two_steps(spark, sf_dir):
+    from quarry.llm import queries
+
+    # With bigrams a token can step back once at most.
+    assert queries.op10_backoff(spark, sf_dir).where("backoffs > n_tokens").count() > 0
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
