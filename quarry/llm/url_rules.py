@@ -80,11 +80,12 @@ def mine(pages: DataFrame, labels: DataFrame, sample: int = 200_000, support: fl
     bad = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(((F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)).cast("int")).alias("bad"))
     url = F.col(url_column)
     numbered = pages.select(url.alias("url"), F.expr(f"try_cast(regexp_extract({url_column}, '://[^?#]*/([0-9]+)[^/?#0-9]*/?([?#]|$)', 1) as bigint)").alias("doc_id")).where(F.col("doc_id").isNotNull())
-    n = numbered.count()
+    labelled = numbered.join(bad, "doc_id")
+    n = labelled.count()
     if n > sample:
         scale = 1 << 30
-        numbered = numbered.where(F.pmod(F.xxhash64("url"), F.lit(scale)) < int(scale * sample / n))
-    baskets = numbered.join(bad, "doc_id").select(F.concat(tokens(F.col("url")), F.array(F.when(F.col("bad") == 1, BLOCK).otherwise("label=allow"))).alias("items"))
+        labelled = labelled.where(F.pmod(F.xxhash64("url"), F.lit(scale)) < int(scale * sample / n))
+    baskets = labelled.select(F.concat(tokens(F.col("url")), F.array(F.when(F.col("bad") == 1, BLOCK).otherwise("label=allow"))).alias("items"))
     n = baskets.count()
     if n < least:
         return []

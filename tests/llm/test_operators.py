@@ -311,6 +311,14 @@ def test_mined_rules(spark):
     assert verdicts == {i: "block" if i % 3 == 0 else "allow" for i in range(300)}
 
 
+def test_rules_are_mined_from_labelled_pages_up_to_the_sample(spark):
+    pages = [(i, f"https://www.site.io/{'promo' if i % 3 == 0 else 'news'}/{i}") for i in range(3000)]
+    labels = [(i, 1 if i % 3 else 0, 0) for i in range(60)]
+    p = spark.createDataFrame(pages, "page_id long, url string")
+    mined = url_rules.mine(p, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), sample=60, support=0.01, confidence=0.8)
+    assert any(items == ["path=promo"] for items, _ in mined)
+
+
 def brute_fingerprint(text):
     import xxhash
 
