@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import tempfile
+import types
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,16 +19,97 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with files in the shared folder that the session names.
 
-    A folder of our own is set only where the session names none.
+    Where the session names none, a folder of our own is set if all of Spark
+    runs in this process, as in tests; on a cluster that is an error.  The
+    shuffle files that led to the rows are deleted once these are written.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()  # planned anew, under the setting
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def _held() -> dict:
+    return sys.modules.setdefault("quarry_in_process", types.ModuleType("quarry_in_process")).__dict__
+
+
+def in_process(key, make):
+    """What `make` returned for `key` in this process, which keeps one such thing: the last that was asked for."""
+    held = _held()
+    if held.get("key") != key:
+        held.pop("value", None)
+        held["value"], held["key"] = make(), key
+    return held["value"]
+
+
+def lasting(key, make):
+    """What `make` returned for `key` in this process; for small things that any operator may keep."""
+    kept = _held().setdefault("lasting", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
+class Shared:
+    """A model that tasks read as `value()`: broadcast by value, so that executors need not have this package, and loaded once in a process."""
+
+    def __init__(self, spark: SparkSession, model):
+        self.data = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+        self.key = ("shared", self.data._jbroadcast.id())
+
+    def __getstate__(self):
+        return {"data": self.data, "key": self.key}
+
+    def value(self):
+        return in_process(self.key, lambda: cloudpickle.loads(self.data.value))
+
+
+def trimmed() -> None:
+    """Give memory that nothing uses back to the system."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run, keeps=None):
+    """An iterator function for mapInArrow that leaves no memory behind in its worker process.
+
+    At its start it drops what another operator kept there (`keeps` names its
+    own), at its end it gives free memory back to the system.
+    """
+
+    def tidied(batches):
+        held = _held()
+        if "key" in held and held["key"] != keeps:
+            del held["key"], held["value"]
+            trimmed()
+        try:
+            yield from run(batches)
+        finally:
+            trimmed()
+
+    return tidied
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -35,35 +122,28 @@ def id_crc(column: str):
 
 
 def text_slices(batch: pa.RecordBatch, column: str, size: int):
-    """(first row, texts) of runs of rows holding about `size` characters each; null text is empty."""
-    texts = [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
-    start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= size:
-            yield start, texts[start : i + 1]
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, texts[start:]
-
-
-def filter_rows(docs: DataFrame, text_column: str, decide) -> DataFrame:
-    """The rows, with all their columns, whose text `decide` keeps; decide(texts) gives an array of booleans."""
-    import numpy as np
+    """(first row, texts) of runs of rows holding about `size` bytes each; null text is empty."""
+    yield from slices(batch.column(batch.schema.get_field_index(column)), size)
+
 
+def slices(texts: pa.Array, size: int):
+    """(first row, texts) of runs of about `size` bytes each; only one run is ever held as Python strings."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        end = min(len(texts), int(np.searchsorted(ends, before + size)) + 1)
+        yield start, [t or "" for t in texts.slice(start, end - start).to_pylist()]
+        start = end
+
+
+def filter_rows(docs: DataFrame, text_column: str, decide, keeps=None) -> DataFrame:
+    """The rows, with all their columns, whose text `decide` keeps; decide(texts) gives an array of booleans."""
     at = docs.columns.index(text_column)
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            first, keep = 0, []
-            while first < len(texts):
-                held, last = 0, first
-                while last < len(texts) and held < 1_000_000:
-                    held += len(texts[last])
-                    last += 1
-                keep.append(np.asarray(decide(texts[first:last]), bool))
-                first = last
+            keep = [np.asarray(decide(texts), bool) for _, texts in slices(batch.column(at), 500_000)]
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run, keeps), docs.schema)

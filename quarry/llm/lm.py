@@ -1,24 +1,27 @@
 """Stupid-backoff scores, computed relationally.
 
-Documents become chunks of tokens.  Each chunk sends its distinct n-grams,
-hashed, with their counts to the buckets of a hash range; a bucket adds them up
-to its part of the n-gram count table and joins the table with what each chunk
-asked for; a chunk joins the answers with its tokens and sums each document.
-A frequent n-gram is one row per chunk, so no key is hot, and what is gathered
-grows with the corpus.  Rows are packed arrays, one for each chunk, order and
-bucket.
+Documents become chunks of tokens.  For one order after the other, each chunk
+sends its distinct n-grams, hashed, with their counts to the buckets of a hash
+range; a bucket adds them up to its part of the n-gram count table and joins
+the table with what each chunk asked for.  At last a chunk joins the answers
+with its tokens and sums each document.  A frequent n-gram is one row per
+chunk, so no key is hot, and what is gathered grows with the corpus.  Rows are
+packed arrays, one for each chunk, order and bucket; the n-grams sent for one
+order are deleted before those of the next are.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._util import checkpoint, shuffle_partitions
+from quarry.llm._util import checkpoint, shuffle_partitions, slices, tidy
 
-CHUNK = 6_000_000
+CHUNK, SLICE = 6_000_000, 500_000
 BUCKET_ROWS = 2_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SEED = 7
@@ -64,21 +67,22 @@ def chunks(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
         ids, sizes, vocabulary, found, held = [], [], Numbers(), [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = tokens(text or "")
-                ids.append(doc)
-                sizes.append(len(own))
-                found.append(np.fromiter(map(vocabulary.__getitem__, own), np.int64, len(own)))
-                held += len(text or "") + 100
-                if held >= CHUNK:
-                    yield packed(ids, sizes, vocabulary, found)
-                    number += 1
-                    ids, sizes, vocabulary, found, held = [], [], Numbers(), [], 0
+            for first, texts in slices(batch.column(1), SLICE):
+                for doc, text in zip(batch.column(0).slice(first, len(texts)).to_pylist(), texts):
+                    own = tokens(text)
+                    ids.append(doc)
+                    sizes.append(len(own))
+                    found.append(np.fromiter(map(vocabulary.__getitem__, own), np.uint32, len(own)))
+                    held += len(text) + 100
+                    if held >= CHUNK:
+                        yield packed(ids, sizes, vocabulary, found)
+                        number += 1
+                        ids, sizes, vocabulary, found, held = [], [], Numbers(), [], 0
         if ids:
             yield packed(ids, sizes, vocabulary, found)
 
     read = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return read.mapInArrow(run, "chunk long, ids array<long>, sizes binary, vocabulary binary, tokens binary, n long")
+    return read.mapInArrow(tidy(run), "chunk long, ids array<long>, sizes binary, vocabulary binary, tokens binary, n long")
 
 
 def ngrams(vocabulary: np.ndarray, found: np.ndarray, sizes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -113,21 +117,24 @@ def score(docs: DataFrame, order: int = 2, backoff: float = 0.4, least: int = 2,
     held = checkpoint(chunks(docs, id_column, text_column))
     total = held.agg(F.sum("n")).first()[0] or 0
     spark = docs.sparkSession
-    bits = max(2 * shuffle_partitions(spark), total * order // BUCKET_ROWS).bit_length()
-
-    def ask(batches):
-        for batch in batches:
-            for chunk, _, sizes, vocabulary, found, _ in zip(*[batch.column(i).to_pylist() for i in range(6)]):
-                cols = [[] for _ in range(5)]
-                for n, (_, h) in enumerate(ngrams(unplanes(vocabulary, "u8"), unplanes(found, "u4"), unplanes(sizes, "i8"), order), 1):
+    bits = max(2 * shuffle_partitions(spark), total // BUCKET_ROWS).bit_length()
+
+    def ask(n):
+        def run(batches):
+            for batch in batches:
+                for chunk, sizes, vocabulary, found in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                    cols = [[] for _ in range(5)]
+                    _, h = ngrams(unplanes(vocabulary, "u8"), unplanes(found, "u4"), unplanes(sizes, "i8"), n)[-1]
                     value, _, times = distinct(h, n)
                     bucket = (value >> np.uint64(64 - bits)).astype(np.int64)
                     edges = np.flatnonzero(np.diff(bucket, prepend=-1))
                     for a, b in zip(edges, [*edges[1:], len(value)]):
                         for col, x in zip(cols, (int(bucket[a]), n, chunk, planes(np.diff(value[a:b], prepend=np.uint64(0))), planes(times[a:b].astype(np.uint32)))):
                             col.append(x)
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["bucket", "order", "chunk", "grams", "times"])
+                    types = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["bucket", "order", "chunk", "grams", "times"])
+
+        return run
 
     def answer(table):
         out = [[] for _ in range(4)]
@@ -176,7 +183,10 @@ def score(docs: DataFrame, order: int = 2, backoff: float = 0.4, least: int = 2,
         whole = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()), "log_score": whole(sums, float), "backoffs": whole(steps, np.int64)})
 
-    asked = held.mapInArrow(ask, "bucket long, order int, chunk long, grams binary, times binary")
-    answers = asked.groupBy("bucket").applyInArrow(answer, "chunk long, order int, bucket long, counts binary")
+    counts = []
+    for n in range(1, order + 1):
+        asked = held.select("chunk", "sizes", "vocabulary", "tokens").mapInArrow(tidy(ask(n)), "bucket long, order int, chunk long, grams binary, times binary")
+        counts.append(checkpoint(asked.groupBy("bucket").applyInArrow(answer, "chunk long, order int, bucket long, counts binary")))
+    answers = functools.reduce(DataFrame.unionByName, counts)
     told = held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(add, "doc_id long, n_tokens long, log_score double, backoffs long")
     return told.select("doc_id", "n_tokens", "log_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")).alias("score"), "backoffs")
