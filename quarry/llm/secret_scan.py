@@ -3,9 +3,12 @@
 Three patterns give the base spans.  The entropy scan adds more: in each run
 of token characters a window slides along, its symbol counts are kept up to
 date by the symbol that enters and the one that leaves, and the window's
-Shannon entropy is compared with the threshold of the run's character class.
-A run on the allow-list gives no entropy span; base spans are never
-suppressed.
+Shannon entropy is compared with the threshold of its part's character class.
+What an allow pattern matches cuts a run into parts, so windows that overlap it
+give no entropy span; base spans are never suppressed.
+
+Positions are running sums made in blocks, and a text is masked block by block:
+no step copies a whole text or all its spans once for each span.
 """
 
 from __future__ import annotations
@@ -34,32 +37,47 @@ CLASSES = (("hex", r"^[0-9a-fA-F]+$", 3.0), ("letters", r"^[A-Za-z]+$", 4.0), ("
 ALLOWED = (
     r"(?i)example|sample|placeholder|changeme|dummy|your[_-]",
     r"(?i)0123456789|abcdefghij|qwertyuiop|deadbeef",
-    r"^(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$",
-    r"(.)\1{7}",
+    r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$",
+    r"(?<same>.)\k<same>{7,}",
 )
 MASK = "[SECRET]"
+#: Numbers that are summed up in one go, and code points of a text that are masked in one go.
+BLOCK, CHARS = 256, 4_096
 
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def before(values: Column, merge) -> Column:
+    """For each place of an array of integers, 0 merged with all values before it.
+
+    Blocks are gone through by themselves, then their totals: n values cost
+    n * BLOCK / 2 + (n / BLOCK)^2 / 2 copies of a number.
+    """
+    zero = F.struct(F.array().cast("array<int>").alias("seen"), F.lit(0).alias("all"))
+    step = lambda total: lambda acc, x: F.struct(F.concat(acc["seen"], F.array(acc["all"])).alias("seen"), merge(acc["all"], total(x)).cast("int").alias("all"))
+
+    def parts(v):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(v, b * BLOCK + 1, F.lit(BLOCK)), zero, step(lambda x: x)))
+        return bound(blocks, lambda bs: F.flatten(F.zip_with(bs, F.aggregate(bs, zero, step(lambda b: b["all"]), lambda acc: acc["seen"]), lambda b, t: F.transform(b["seen"], lambda x: merge(t, x).cast("int")))))
+
+    return bound(values, lambda v: F.when(F.size(v) > 0, parts(v)).otherwise(F.array().cast("array<int>")))
+
+
 def runs(text: Column, pattern: str, group: int) -> Column:
     """Matches of a pattern, in order: what stands before each, the match, and its group."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    return F.transform(F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), (F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole).alias("value")), lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["whole"]).alias("whole"), x["value"].alias("value")))
+    return F.transform(F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), (F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole).alias("value")), lambda x: F.struct(x["gap"].alias("text"), F.length(x["gap"]).alias("gap"), F.coalesce(F.length(x["whole"]), F.lit(0)).alias("whole"), x["value"].alias("value")))
 
 
 def placed(found: Column, spans) -> Column:
-    """Spans of all runs; `spans(value, start, end)` gives an array of them for one run."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
-
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(x["whole"], F.lit(0))
-        more = F.when(x["whole"].isNull(), F.array().cast(SPANS)).otherwise(spans(x["value"], start, end))
-        return F.struct(end.alias("at"), F.when(F.size(more) > 0, F.concat(acc["spans"], more)).otherwise(acc["spans"]).alias("spans"))
-
-    return F.aggregate(found, zero, step, lambda acc: acc["spans"])
+    """Spans of all runs; `spans(run, start)` gives an array of them for a run whose gap ends at `start`."""
+    return bound(found, lambda f: F.flatten(F.zip_with(f, before(F.transform(f, lambda x: x["gap"] + x["whole"]), lambda a, b: a + b), lambda x, at: spans(x, at + x["gap"]))))
 
 
 def span(start: Column, kind: int, end: Column) -> Column:
@@ -71,7 +89,7 @@ def base(text: Column, kind: str) -> Column:
     pattern, group, least = BASE[kind]
     at, pattern = KINDS.index(kind), LONG.get(kind, pattern)
     short = F.array().cast(SPANS)
-    made = placed(runs(text, pattern, group), lambda v, a, b: F.when(F.length(v) >= least, F.array(span(a, at, b))).otherwise(short))
+    made = placed(runs(text, pattern, group), lambda x, start: F.when(F.length(x["value"]) >= least, F.array(span(start, at, start + x["whole"]))).otherwise(short))
     return F.when(text.rlike(HINTS[kind]), made).otherwise(short)
 
 
@@ -105,20 +123,22 @@ def hot_range(run: Column, bits: Column, window: int) -> Column:
 
 
 def entropy(text: Column, window: int, classes, allowed) -> Column:
-    """The spans of runs with a window of high entropy."""
+    """The spans of parts of runs with a window of high entropy."""
     none = F.array().cast(SPANS)
+    known = "|".join(f"(?:{p})" for p in allowed) or r"(?!)"
 
-    def made(run, start, _):
+    def part(value, start):
         bits, hexes = F.lit(99.0), F.lit(False)
         for name, pattern, least in reversed(classes):
-            bits = F.when(run.rlike(pattern), F.lit(least)).otherwise(bits)
-            hexes = run.rlike(pattern) if name == "hex" else hexes
-        ok = F.lit(True)
-        for pattern in allowed:
-            ok = ok & ~run.rlike(pattern)
-        found = hot_range(F.when(hexes, F.lower(run)).otherwise(run), bits, window)
+            bits = F.when(value.rlike(pattern), F.lit(least)).otherwise(bits)
+            hexes = value.rlike(pattern) if name == "hex" else hexes
+        found = hot_range(F.when(hexes, F.lower(value)).otherwise(value), bits, window)
         out = F.transform(F.array(found), lambda r: span(start + r["first"], KINDS.index("entropy"), start + r["last"]))
-        return F.when(ok, F.filter(out, lambda s: s["start"].isNotNull())).otherwise(none)
+        return F.when(F.length(value) >= window, F.filter(out, lambda s: s["start"].isNotNull())).otherwise(none)
+
+    def made(x, start):
+        cut = placed(runs(x["value"], known, 0), lambda y, end: part(y["text"], start + end - y["gap"]))
+        return F.when(x["value"].isNull(), none).when(x["value"].rlike(known), cut).otherwise(part(x["value"], start))
 
     return F.when(text.rlike(CANDIDATE), placed(runs(text, CANDIDATE, 0), made)).otherwise(none)
 
@@ -133,8 +153,8 @@ def find(docs: DataFrame, window: int = WINDOW, classes=CLASSES, allowed=ALLOWED
     if out in docs.columns:
         raise ValueError(f"the rows already have a column {out}")
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    every = F.concat(*[base(text, kind) for kind in BASE], entropy(text, window, classes, allowed))
-    return docs.withColumn(out, F.when(F.size(every) > 0, F.array_sort(every)).otherwise(every))
+    every = bound(text, lambda t: F.concat(*[base(t, kind) for kind in BASE], entropy(t, window, classes, allowed)))
+    return docs.withColumn(out, bound(every, lambda e: F.when(F.size(e) > 0, F.array_sort(e)).otherwise(e)))
 
 
 def named(found: Column) -> Column:
@@ -151,16 +171,43 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     return found.select("doc_id", *[of(k) for k in BASE], F.sha2(named(base_only).cast("binary"), 256).alias("base_sha256"), named(F.col("found")).alias("spans"), of("entropy"))
 
 
+def merged(spans: Column) -> Column:
+    """Disjoint (start, end) that cover an array of spans, which are ordered by their start."""
+
+    def joined(s, reach):
+        heads = F.filter(F.zip_with(s, reach, lambda x, r: F.struct(x["start"].alias("start"), r.alias("reach"))), lambda x: x["start"] >= x["reach"])
+        last = F.array_max(F.transform(s, lambda x: x["end"]))
+        return bound(heads, lambda hs: F.transform(hs, lambda h, i: F.struct(h["start"].alias("start"), F.coalesce(F.get(hs, i + 1)["reach"], last).alias("end"))))
+
+    return bound(spans, lambda s: bound(before(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b)), lambda reach: joined(s, reach)))
+
+
+def masked(text: Column, spans: Column, mask: str) -> Column:
+    """The text with each of the disjoint spans replaced; at most 1,000 blocks, or blocks of CHARS, are masked one by one."""
+    size = F.greatest(F.lit(CHARS), F.ceil(F.length(text) / 1000).cast("int"))
+
+    def block(value, low, own):
+        start = lambda i: F.when(i > 0, F.get(own, i - 1)["end"]).otherwise(low)
+        parts = F.transform(own, lambda s, i: F.concat(F.substring(value, start(i) - low + 1, F.greatest(s["start"] - start(i), F.lit(0))), F.when(s["start"] >= low, F.lit(mask)).otherwise("")))
+        last = F.get(own, F.size(own) - 1)["end"]
+        return F.when(F.size(own) == 0, value).otherwise(F.concat(F.array_join(parts, ""), F.when(last < low + F.length(value), F.substring(value, last - low + 1, F.length(value))).otherwise("")))
+
+    def whole(sz, blocks, m):
+        return F.array_join(F.transform(blocks, lambda value, i: bound(F.filter(m, lambda s: (s["end"] > i * sz) & (s["start"] < (i + 1) * sz)), lambda own: block(value, i * sz, own))), "")
+
+    cut = F.regexp_extract_all(text, F.concat(F.lit("(?s).{1,"), size.cast("string"), F.lit("}")), F.lit(0))
+    return bound(size, lambda sz: bound(cut, lambda blocks: bound(merged(spans), lambda m: whole(sz, blocks, m))))
+
+
 def redact(docs: DataFrame, text_column: str = "text", mask: str = MASK, **options) -> DataFrame:
-    """The rows with every span in the text replaced by `mask`; spans that overlap are replaced together; a null text stays null."""
-    spans = find(docs, text_column=text_column, out="__spans", **options)
-    text = F.col(text_column)
-    zero = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"))
-
-    def step(acc, s):
-        apart = s["start"] >= acc["at"]
-        parts = F.when(apart, F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))).otherwise(acc["parts"])
-        return F.struct(parts.alias("parts"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    clean = F.aggregate("__spans", zero, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return spans.withColumn(text_column, F.when(F.size("__spans") > 0, clean).otherwise(text)).drop("__spans")
+    """The rows with every span in the text replaced by `mask`; spans that overlap are replaced together.
+
+    A null text stays null; rows, repeated ones too, and all other columns
+    stay; an empty table gives no rows.
+    """
+    out = "__spans"
+    while out in docs.columns:
+        out += "_"
+    spans = find(docs, text_column=text_column, out=out, **options)
+    text = F.col(text_column).cast("string")
+    return spans.withColumn(text_column, F.when(F.size(out) > 0, masked(text, F.col(out), mask)).otherwise(F.col(text_column))).drop(out)
