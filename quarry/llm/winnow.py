@@ -11,6 +11,8 @@ over the words in a window.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,10 @@ W = 8
 PRIME = (1 << 31) - 1
 BASE = 1_103_515_245
 LOW = (1 << 32) - 1
-WORD = r"[\p{L}\p{N}]{1,32}"
+WORD = r"[\p{L}\p{N}]+"
 FIRST = -(1 << 63)
+#: Edges of buckets that a row is compared with in one go.
+STRIDE = 256
 
 
 def steps(n: int) -> list[tuple[int, int]]:
@@ -92,25 +96,37 @@ def likeness(df: DataFrame, left: str, right: str, out: str) -> DataFrame:
     return df.select(*own, F.when(every > 0, F.col("__both") / every).otherwise(1.0).alias(out))
 
 
+def edges_of(ids: DataFrame, buckets: int) -> list[tuple[int, int]]:
+    """(id, hash) at which buckets begin: approximate quantiles of the ids; an id that several of them name is cut by the hash of the text."""
+    cuts = ids.agg(F.percentile_approx("id", [i / buckets for i in range(1, buckets)], max(10_000, 20 * buckets)).alias("cuts")).first()["cuts"] or []
+    times = Counter(cuts)
+    return sorted((c, FIRST + j * (1 << 64) // n) for c, n in times.items() for j in range(n))
+
+
+def bucket_of(edges: list[tuple[int, int]], key: Column) -> Column:
+    """How many edges are at or below a (id, hash)."""
+    listed = lambda some: F.array(*[F.struct(F.lit(a).cast("long").alias("id"), F.lit(b).cast("long").alias("h")) for a, b in some])
+    if not edges:
+        return F.lit(0)
+    upto = lambda some: F.size(F.filter(some, lambda c: c <= key))
+    first = upto(listed(edges[::STRIDE]))
+    return F.when(first == 0, 0).otherwise((first - 1) * STRIDE + upto(F.slice(listed(edges), (first - 1) * STRIDE + 1, F.lit(STRIDE))))
+
+
 def beside_next(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, ghost, doc_id, text: each bucket holds a range of ids, and after them, as ghosts, the rows of the first id that follows the range.
+    """bucket, ghost, doc_id, text, h: each bucket holds a range of (id, hash of the text), and after it, as a ghost, the row that follows the range.
 
-    The ranges come from approximate quantiles of the ids.  The first ids of
-    the buckets, one each, are all that the driver reads.
+    The first (id, hash) of the buckets, one each, are all that the driver
+    reads, and all that is broadcast.
     """
-    order = F.coalesce("doc_id", F.lit(FIRST))
-    ids = docs.select(order.alias("id"))
-    cuts = ids.agg(F.percentile_approx("id", [i / buckets for i in range(1, buckets)], max(10_000, 20 * buckets)).alias("cuts")).first()["cuts"] or []
-    cuts = sorted(set(cuts))
-    edges = F.array(*[F.lit(c) for c in cuts]).cast("array<long>")
-    bucket = lambda x: F.size(F.filter(edges, lambda c: c <= x))
-    firsts = sorted((r["bucket"], r["id"]) for r in ids.groupBy(bucket(F.col("id")).alias("bucket")).agg(F.min("id").alias("id")).collect())
-    before = {i: firsts[k - 1][0] for k, (_, i) in enumerate(firsts)}
-    at = F.array(*[F.lit(i) for i in before]).cast("array<long>")
-    to = F.array(*[F.lit(b) for b in before.values()]).cast("array<int>")
-    placed = docs.select("*", order.alias("__id")).select("*", bucket(F.col("__id")).alias("__own"), F.array_position(at, F.col("__id")).cast("int").alias("__first"))
-    spots = F.when(F.col("__first") > 0, F.array(F.struct(F.col("__own").alias("bucket"), F.lit(False).alias("ghost")), F.struct(F.get(to, F.col("__first") - 1).alias("bucket"), F.lit(True).alias("ghost")))).otherwise(F.array(F.struct(F.col("__own").alias("bucket"), F.lit(False).alias("ghost"))))
-    return placed.select("doc_id", "text", F.explode(spots).alias("spot")).select("spot.bucket", "spot.ghost", "doc_id", "text")
+    keyed = docs.select("*", F.coalesce("doc_id", F.lit(FIRST)).alias("id"), F.xxhash64("text").alias("h"))
+    edges = edges_of(docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("id")), buckets)
+    placed = keyed.select("*", bucket_of(edges, F.struct("id", "h")).alias("bucket"))
+    firsts = sorted((r["bucket"], r["x"]["id"], r["x"]["h"]) for r in placed.groupBy("bucket").agg(F.min(F.struct("id", "h")).alias("x")).collect())
+    after = docs.sparkSession.createDataFrame([(firsts[k - 1][0], i, h) for k, (_, i, h) in enumerate(firsts)], "to int, id long, first long")
+    ghosts = keyed.join(F.broadcast(after), "id").where(F.col("h") == F.col("first")).groupBy("to", "id", "h").agg(F.min(F.struct("text", "doc_id")).alias("x"))
+    own = placed.select(F.col("bucket").cast("int").alias("bucket"), F.lit(False).alias("ghost"), "doc_id", "text", "h")
+    return own.unionByName(ghosts.select(F.col("to").alias("bucket"), F.lit(True).alias("ghost"), F.col("x.doc_id").alias("doc_id"), F.col("x.text").alias("text"), "h"))
 
 
 def compare(docs: DataFrame, k: int = K, w: int = W, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -118,15 +134,16 @@ def compare(docs: DataFrame, k: int = K, w: int = W, id_column: str = "doc_id",
 
     The edited text has its last half replaced by as many first characters of
     the next row's text, or all of them; rows are in ascending order of doc_id,
-    null first, rows of one id by their text; the first row follows the last.
-    A null text is empty; repeated rows stay; an empty table gives no rows;
-    other columns are not read.
+    null first, rows of one id by a hash of their text, then by the text; the
+    first row follows the last.  A null text is empty; repeated rows stay; an
+    empty table gives no rows; other columns are not read.  Rows of one id go
+    to several tasks if there are many, but rows alike in id and text to one.
     """
     parts = shuffle_partitions(docs.sparkSession)
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     dealt = beside_next(docs, 4 * parts).repartition(parts, "bucket")
     marked = fingerprints(dealt, "text", "marks", k, w)
-    order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "text")
+    order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "h", "text")
     paired = marked.select("*", F.lead("text").over(order).alias("next"), F.lead("marks").over(order).alias("next_marks")).where(~F.col("ghost"))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next", F.lit(1), half))
