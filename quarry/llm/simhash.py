@@ -6,15 +6,19 @@ vantage point and a radius: fingerprints within the radius go inside, the
 others outside.  If two fingerprints differ in at most r bits, the triangle
 inequality bounds the difference of their distances to the vantage point by r.
 So an inner fingerprint whose distance is within r of the radius is copied to
-the outer side as well, and every linked pair meets in some shard.  A shard
-goes on the same way down to small leaves and compares fingerprints there.
+the outer side as well, and every linked pair meets in some shard.  Shards that
+turn out too large for a task are split further, by trees built on samples of
+their own.  A shard goes on the same way down to small leaves and compares
+fingerprints there.
 
 A shard returns its groups as stars of bounded size, never as pairs; the stars
-of all shards are merged by passing the smallest doc_id along them.
+of all shards are merged by alternating large and small stars, in a number of
+rounds that grows with the logarithm of a group.
 """
 
 from __future__ import annotations
 
+import copy
 import math
 
 import numpy as np
@@ -22,13 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._util import checkpoint, text_slices
+from quarry.llm._util import checkpoint, text_slices, tidy
 
 SEED = 42
-SLICE = 1_000_000
-BLOCK = 1 << 17
+SLICE = 500_000
+BLOCK = 1 << 16
 SAMPLE = 20_000
 SHARD_ROWS = 4_096
+#: A shard's fingerprints at most, where the vantage points can part them.
+LARGEST_SHARD = 1_000_000
+#: Fingerprints on the driver at most, in expectation, when large shards are split.
+SAMPLE_ALL = 4_000_000
 LEAF = 768
 LEAST_SAMPLE = 64
 STAR = 1_000
@@ -84,7 +92,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", t
             for first, texts in text_slices(batch, "text", SLICE):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(fingerprint(texts, shingle).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def split(points: np.ndarray, radius: int, rng) -> tuple[np.uint64, int] | None:
@@ -110,37 +118,94 @@ def sides(points: np.ndarray, v, mu: int, radius: int) -> tuple[np.ndarray, np.n
     return np.flatnonzero(d <= mu), np.flatnonzero(d > mu - radius)
 
 
-def build(sample: np.ndarray, depth: int, radius: int) -> list:
-    """The upper tree: nodes (vantage point, radius, inner, outer), or None for a shard."""
-    rng, nodes = np.random.default_rng(0), []
-
-    def grow(points, levels):
-        at = len(nodes)
-        nodes.append(None)
-        found = split(points, radius, rng) if levels and len(points) >= 2 else None
-        if found:
-            inner, outer = sides(points, *found, radius)
-            nodes[at] = (np.uint64(found[0]), found[1], grow(points[inner], levels - 1), grow(points[outer], levels - 1))
-        return at
-
-    grow(sample, depth)
-    return nodes
-
-
-def route(nodes: list, points: np.ndarray, radius: int) -> list[tuple[int, np.ndarray]]:
-    """(shard, positions of the points in it)."""
-    out, todo = [], [(0, np.arange(len(points)))]
-    while todo:
-        at, rows = todo.pop()
-        if not len(rows):
-            continue
-        if nodes[at] is None:
-            out.append((at, rows))
-            continue
-        v, mu, inner, outer = nodes[at]
-        a, b = sides(points[rows], v, mu, radius)
-        todo += (inner, rows[a]), (outer, rows[b])
-    return out
+class Tree:
+    """The upper tree, as arrays: vantage point, radius, inner and outer node of each node; the inner node is 0 for a shard."""
+
+    def __init__(self):
+        self.points, self.radii = np.zeros(1, np.uint64), np.zeros(1, np.int64)
+        self.inner, self.outer = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def grow(self, samples: dict[int, np.ndarray], depth: int, radius: int) -> bool:
+        """Split shards by samples of them, `depth` levels at most; whether any was split."""
+        rng, new, size = np.random.default_rng(0), [], len(self.points)
+        changed = {}
+        todo = [(at, points, depth) for at, points in sorted(samples.items())]
+        while todo:
+            at, points, levels = todo.pop()
+            found = split(points, radius, rng) if levels and len(points) >= 2 else None
+            if found:
+                inner, outer = sides(points, *found, radius)
+                a, b = size + len(new), size + len(new) + 1
+                new += [None, None]
+                changed[at] = (found[0], found[1], a, b)
+                todo += (a, points[inner], levels - 1), (b, points[outer], levels - 1)
+        for name in ("points", "radii", "inner", "outer"):
+            old = getattr(self, name)
+            setattr(self, name, np.concatenate([old, np.zeros(len(new), old.dtype)]))
+        for at, (v, mu, a, b) in changed.items():
+            self.points[at], self.radii[at], self.inner[at], self.outer[at] = v, mu, a, b
+        return bool(changed)
+
+    def route(self, points: np.ndarray, radius: int) -> list[tuple[int, np.ndarray]]:
+        """(shard, positions of the points in it)."""
+        out, todo = [], [(0, np.arange(len(points)))]
+        while todo:
+            at, rows = todo.pop()
+            if not len(rows):
+                continue
+            if not self.inner[at]:
+                out.append((at, rows))
+                continue
+            a, b = sides(points[rows], self.points[at], self.radii[at], radius)
+            todo += (int(self.inner[at]), rows[a]), (int(self.outer[at]), rows[b])
+        return out
+
+
+def upper_tree(nodes: DataFrame, radius: int) -> Tree:
+    """The tree whose shards hold LARGEST_SHARD fingerprints at most, but for those that no vantage point parts.
+
+    The first levels come from an expected SAMPLE fingerprints.  While shards
+    are too large they are counted and split by samples of them: SAMPLE each,
+    or SAMPLE_ALL among them, in expectation, reach the driver.
+    """
+    tree, total, whole = Tree(), nodes.count(), 1 << 30
+    drawn = F.pmod(F.xxhash64("fp"), F.lit(whole))
+    some = nodes.select("fp").where(drawn < int(whole * min(1.0, SAMPLE / max(total, 1))))
+    sample = np.sort(some.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+    depth = max(6, math.ceil(math.log2(max(1, total) / SHARD_ROWS)))
+    levels = lambda n: max(1, int(math.log(max(n, 2) / LEAST_SAMPLE, 1.5)) + 1)
+    grown = tree.grow({0: sample}, min(depth, levels(len(sample))), radius)
+    stuck: set[int] = set()
+    while grown and total > LARGEST_SHARD:
+        held = tree
+
+        def count(batches):
+            sums: dict[int, int] = {}
+            for batch in batches:
+                for shard, rows in held.route(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), radius):
+                    sums[shard] = sums.get(shard, 0) + len(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.int64())], ["shard", "n"])
+
+        large = {r["shard"]: r["n"] for r in nodes.select("fp").mapInArrow(count, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).where(F.col("n") > LARGEST_SHARD).collect() if r["shard"] not in stuck}
+        if not large:
+            break
+        each = min(SAMPLE, SAMPLE_ALL // len(large))
+        rates = {shard: int(whole * min(1.0, each / n)) for shard, n in large.items()}
+
+        def draw(batches):
+            for batch in batches:
+                fp, at = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+                for shard, rows in held.route(fp.view(np.uint64), radius):
+                    rows = rows[at[rows] < rates.get(shard, 0)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), shard)), pa.array(fp[rows])], ["shard", "fp"])
+
+        got = nodes.select("fp", F.pmod(F.xxhash64(F.lit(1), "fp"), F.lit(whole)).alias("at")).mapInArrow(draw, "shard long, fp long").toArrow()
+        shard, fp = got.column(0).to_numpy(), got.column(1).to_numpy().view(np.uint64)
+        samples = {at: np.sort(fp[shard == at]) for at in large}
+        tree = copy.deepcopy(held)
+        grown = tree.grow(samples, levels(each), radius)
+        stuck |= {at for at in large if not tree.inner[at]}
+    return tree
 
 
 def flood(points: np.ndarray, radius: int) -> np.ndarray:
@@ -193,19 +258,12 @@ def stars(nodes: DataFrame, radius: int) -> DataFrame:
 
     A star has at most STAR fingerprints; those of a group share one fingerprint.
     """
-    total = nodes.count()
-    sample = nodes.select("fp")
-    if total > SAMPLE:
-        scale = 1 << 30
-        sample = sample.where(F.pmod(F.xxhash64("fp"), F.lit(scale)) < int(scale * SAMPLE / total))
-    sample = np.array([r["fp"] for r in sample.collect()], np.int64).view(np.uint64)
-    depth = max(6, math.ceil(math.log2(max(1, total) / SHARD_ROWS)))
-    tree = build(np.sort(sample), min(depth, max(1, int(math.log(max(len(sample), 2) / LEAST_SAMPLE, 1.5)) + 1)), radius)
+    tree = upper_tree(nodes, radius)
 
     def deal(batches):
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False)
-            for shard, rows in route(tree, fp.view(np.uint64), radius):
+            for shard, rows in tree.route(fp.view(np.uint64), radius):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), shard, np.int32)), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))], ["shard", "fp", "label"])
 
     def link(key, t):
@@ -226,7 +284,7 @@ def stars(nodes: DataFrame, radius: int) -> DataFrame:
         join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
         return pa.table({"star": join(star), "fp": join(out_fp), "label": join(out_label)})
 
-    return nodes.select("fp", "label").mapInArrow(deal, "shard int, fp long, label long").groupBy("shard").applyInArrow(link, "star long, fp long, label long")
+    return nodes.select("fp", "label").mapInArrow(tidy(deal), "shard int, fp long, label long").groupBy("shard").applyInArrow(link, "star long, fp long, label long")
 
 
 def components(nodes: DataFrame, radius: int) -> DataFrame:
@@ -235,21 +293,33 @@ def components(nodes: DataFrame, radius: int) -> DataFrame:
 
 
 def spread(member: DataFrame) -> DataFrame:
-    """fp, label: the smallest label that stars reach; member: star, fp and its label, written already."""
-    edges = member.select("star", "fp")
-    best = checkpoint(member.groupBy("fp").agg(F.min("label").alias("label")))
-    first = True
+    """fp, label: the smallest label that stars reach; member: star, fp and its label, written already.
+
+    Each star becomes links to its smallest fingerprint.  Then, in turn, every
+    node hands its larger neighbours to the smallest one, and its smaller ones
+    with itself: groups become stars around their smallest fingerprint.  A node
+    of many links is one row of a minimum, joined to rows that Spark can split.
+    """
+    centre = member.groupBy("star").agg(F.min("fp").alias("v"))
+    links = checkpoint(member.join(centre, "star").select(F.col("fp").alias("u"), "v").where("u <> v").distinct())
+    before = None
     while True:
-        if first:
-            low = member.groupBy("star").agg(F.min("label").alias("low"))
-        else:
-            low = edges.join(best, "fp").groupBy("star").agg(F.min("label").alias("low"))
-        new = edges.join(low, "star").groupBy("fp").agg(F.min("low").alias("low"))
-        after = checkpoint(best.join(new, "fp").select("fp", F.least("label", "low").alias("label"), (F.col("low") < F.col("label")).alias("moved")))
-        moved = after.where("moved").limit(1).count()
-        best, first = after.select("fp", "label"), False
-        if not moved:
-            return best
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = checkpoint(large)  # u is above v in every link
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        links = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        links = checkpoint(links)
+        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        if now == before:
+            break
+        before = now
+    # A fingerprint's label is the same in all its stars.
+    labels = member.groupBy("fp").agg(F.min("label").alias("own"))
+    rooted = labels.join(links.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "own", F.coalesce("root", "fp").alias("root"))
+    low = rooted.groupBy("root").agg(F.min("own").alias("label"))
+    return checkpoint(rooted.join(low, "root").select("fp", "label"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
