@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+SERIOUS = ("critical", "high", "medium")
+
+
 def history(audits: DataFrame, n: int = 20) -> DataFrame:
     """The newest n audits of each target: target, id, at, score, place (1 is the newest)."""
     newest = Window.partitionBy("target").orderBy(F.col("at").desc(), F.col("id").desc())
@@ -20,19 +23,13 @@ def trend(audits: DataFrame, margin: int = 3) -> DataFrame:
     return told.select("target", "id", "score", "previous", delta.alias("delta"), F.when(delta.isNull(), "baseline").when(delta < -margin, "regression").when(delta > margin, "improvement").otherwise("stable").alias("verdict"))
 
 
-def latest(audits: DataFrame) -> DataFrame:
-    """Only the newest audit of each target, with its trend."""
-    told = trend(audits)
-    return audits.groupBy("target").agg(F.max(F.struct("at", "id")).alias("x")).select("target", F.col("x.id").alias("id")).join(told, ["target", "id"], "left")
-
-
 def difference(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """key, status (added, resolved, persisting), severity, regression; the last row of a key on one side counts."""
+    """key, status (added, resolved, persisting), severity, regression, fixed (those of medium severity and more); the last row of a key on one side counts."""
     last = lambda df: df.groupBy("key").agg(F.max_by("severity", "seq").alias("severity"))
     a, b = last(previous).withColumnRenamed("severity", "before"), last(current).withColumnRenamed("severity", "after")
     both = a.join(b, "key", "full_outer")
     status = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "resolved").otherwise("persisting")
-    return both.select("key", status.alias("status"), F.coalesce("after", "before").alias("severity")).withColumn("regression", (F.col("status") == "added") & F.col("severity").isin("critical", "high", "medium"))
+    return both.select("key", status.alias("status"), F.coalesce("after", "before").alias("severity")).withColumn("regression", (F.col("status") == "added") & F.col("severity").isin(*SERIOUS)).withColumn("fixed", (F.col("status") == "resolved") & F.col("severity").isin(*SERIOUS))
 
 
 def domain_changes(domains: DataFrame) -> DataFrame:
@@ -64,14 +61,45 @@ def upsert(members: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("tenant"
     return last.select(*keys, "x.*")
 
 
+def listed(audits: DataFrame, n: int = 30) -> DataFrame:
+    """The newest n audits of each tenant, with their place: tenant, id, target, status, score, at."""
+    newest = Window.partitionBy("tenant").orderBy(F.col("at").desc(), F.col("id").desc())
+    return audits.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= n)
+
+
+def completed(audits: DataFrame, n: int = 20) -> DataFrame:
+    """The newest n finished audits of each tenant's target, with their place."""
+    newest = Window.partitionBy("tenant", "target").orderBy(F.col("at").desc(), F.col("id").desc())
+    return audits.where("status = 'done'").withColumn("place", F.row_number().over(newest)).where(F.col("place") <= n)
+
+
+def with_findings(audits: DataFrame, findings: DataFrame) -> DataFrame:
+    """Each audit's rows with its findings, most urgent first by their place; an audit without findings is one row.
+
+    audits: audit_id and others; findings: audit_id, finding_id, priority and others.
+    """
+    order = Window.partitionBy("audit_id").orderBy(F.col("priority").desc(), "finding_id")
+    return audits.join(findings.withColumn("place", F.row_number().over(order)), "audit_id", "left")
+
+
 def fixes_by_file(findings: DataFrame) -> DataFrame:
-    """file, n, fixes (worst first, joined)."""
-    from quarry.operators.findings import rank
+    """file, place, n, severity, fix: each standing finding's fix under its file, worst first; findings without a file stand under `general`."""
+    from quarry.operators.findings import rank, standing
 
-    return findings.where(F.coalesce(F.col("verdict"), F.lit("")) != "rejected").groupBy(F.coalesce("file", F.lit("general")).alias("file")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-rank()).alias("r"), "seq", "fix"))), lambda x: x["fix"]), "; ").alias("fixes"))
+    kept = standing(findings).select(F.coalesce("file", F.lit("general")).alias("file"), (-rank()).alias("r"), "seq", "severity", "fix")
+    order = Window.partitionBy("file").orderBy("r", "seq")
+    return kept.withColumn("place", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("file"))).select("file", "place", "n", "severity", "fix")
 
 
 def missing_translations(locales: DataFrame) -> DataFrame:
-    """file, missing keys: what other files of the set have; locales: file, key. With one file nothing can be missing."""
-    files, keys = locales.select("file").distinct(), locales.select("key").distinct()
-    return files.join(keys, how="cross").join(locales, ["file", "key"], "left_anti").groupBy("file").agg(F.count("*").alias("missing"), F.array_join(F.array_sort(F.collect_list("key")), ",").alias("keys"))
+    """file, missing, keys: what other files of the set have; locales: file (text), key. With one file nothing can be missing.
+
+    A key that all files have is dropped first; the others say which files
+    have them, as one set of files a key, so no row is made for a pair that
+    isn't missing.
+    """
+    here = locales.select("file", "key").distinct()
+    names = sorted(r["file"] for r in here.select("file").distinct().collect())  # the locale files of one set: a few
+    partial = here.groupBy("key").agg(F.collect_set("file").alias("have")).where(F.size("have") < len(names))
+    gaps = partial.select("key", F.explode(F.array_except(F.array(*map(F.lit, names)).cast("array<string>"), "have")).alias("file"))
+    return gaps.groupBy("file").agg(F.count("*").alias("missing"), F.array_join(F.array_sort(F.collect_list("key")), ",").alias("keys"))

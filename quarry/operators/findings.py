@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quarry import model
 
-RANKS = F.lit
 CONFIDENCE = {"confirmed": 1.0, "plausible": 0.6}
 
 
@@ -66,7 +65,7 @@ def domain_scores(findings: DataFrame, has_repo: bool = False) -> DataFrame:
     """For every agent: n, score, worst rank, evaluated; agents that need code aren't evaluated without it."""
     stand = standing(findings).groupBy("agent").agg(F.sum(rank() * rank()).alias("penalty"))
     seen = findings.groupBy("agent").agg(F.count("*").alias("n"), F.max(rank("severity", 0)).alias("worst"))
-    out = model.agents(findings.sparkSession).select("agent", "agent_n", "weight").join(F.broadcast(seen), "agent", "left").join(F.broadcast(stand), "agent", "left")
+    out = model.agents(findings.sparkSession).select("agent", "agent_n", "weight").join(seen, "agent", "left").join(stand, "agent", "left")
     evaluated = F.lit(True) if has_repo else ~F.col("agent").isin(*model.NEEDS_CODE)
     score = soft(F.coalesce("penalty", F.lit(0)), 40)
     return out.select("agent", "agent_n", "weight", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("worst", F.lit(0)).alias("worst"), evaluated.alias("evaluated"), F.when(evaluated, score).alias("score"))
@@ -97,15 +96,17 @@ def business_totals(findings: DataFrame, **options) -> DataFrame:
 
 
 def ranked(findings: DataFrame) -> DataFrame:
-    return findings.withColumn("rank", rank("severity", 0)).withColumn("priority", priority()).orderBy(F.col("rank").desc(), F.col("priority").desc(), "seq")
+    """The findings with rank and priority; `top` and the writers put them in order."""
+    return findings.withColumn("rank", rank("severity", 0)).withColumn("priority", priority())
 
 
 def top(findings: DataFrame, k: int = 10) -> DataFrame:
-    return ranked(findings).limit(k)
+    """The k worst findings, worst first."""
+    return ranked(findings).orderBy(F.col("rank").desc(), F.col("priority").desc(), "seq").limit(k)
 
 
 def quick_wins(findings: DataFrame, most: float = 0.25, k: int = 10) -> DataFrame:
-    return ranked(findings.where(F.coalesce(F.col("effort"), F.lit(1.0)) <= most)).limit(k)
+    return top(findings.where(F.coalesce(F.col("effort"), F.lit(1.0)) <= most), k)
 
 
 def roadmap(findings: DataFrame) -> DataFrame:
@@ -133,11 +134,12 @@ def worth_telling(findings: DataFrame, least: str = "high", k: int = 15) -> Data
     return top(findings.where(rank("severity", 0) >= model.SEVERITY[least][0]), k)
 
 
-def verified(findings: DataFrame, scope: DataFrame) -> DataFrame:
-    """Findings with the verdict of an ordered cascade: kept rejections, facts that decide, missing evidence, own checks.
+def verified(findings: DataFrame, scope: DataFrame, default_reason: str = "Observe directement.") -> DataFrame:
+    """Findings with the verdict, votes and refuters of an ordered cascade: kept rejections, facts that decide, missing evidence, own checks.
 
-    findings: rule, severity, verdict, reason, proof, file, url, artifact,
-    reproducible, type; scope: one row of facts about the site.
+    findings: site, rule, severity, verdict, reason, proof, file, url,
+    artifact, reproducible; scope: facts about each site, one row of one site.
+    A finding of a site without facts is judged as if nothing was there.
     """
     body = F.coalesce("body", F.lit(""))
     ld = body.rlike(r"(?i)application/ld\+json")
@@ -159,18 +161,22 @@ def verified(findings: DataFrame, scope: DataFrame) -> DataFrame:
         held = F.when(F.col("rule") == rule, fact).otherwise(held)
     some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     evidence = some("proof") | some("file") | some("url") | some("artifact")
-    own = F.col("verdict").isNotNull() & some("reason") & (F.col("reason") != "Observed directly.")
+    own = F.col("verdict").isNotNull() & some("reason") & (F.col("reason") != default_reason)
+    vote = lambda verdict, votes, refuters: F.struct((F.lit(verdict) if isinstance(verdict, str) else verdict).alias("verdict"), F.lit(votes).alias("votes"), F.lit(refuters).alias("refuters"))
     told = (
-        F.when(F.col("verdict") == "rejected", "rejected")
-        .when(held == F.lit(False), "rejected")
-        .when(held, "confirmed")
-        .when(~evidence & (rank() >= 4), "plausible")
-        .when(F.col("reproducible") == F.lit(False), "plausible")
-        .when(own, F.col("verdict"))
-        .when(some("proof"), "confirmed")
-        .otherwise("plausible")
+        F.when(F.col("verdict") == "rejected", vote("rejected", 0, 3))
+        .when(held == F.lit(False), vote("rejected", 0, 3))
+        .when(held, vote("confirmed", 3, 0))
+        .when(~evidence & (rank() >= 4), vote("plausible", 1, 2))
+        .when(F.col("reproducible") == F.lit(False), vote("plausible", 2, 1))
+        .when(own & (F.col("verdict") == "confirmed"), vote("confirmed", 3, 0))
+        .when(own, vote(F.col("verdict"), 2, 1))
+        .when(some("proof"), vote("confirmed", 3, 0))
+        .otherwise(vote("plausible", 2, 1))
     )
-    return findings.crossJoin(F.broadcast(scope.limit(1))).select(*[findings[c] for c in findings.columns if c != "verdict"], told.alias("verdict"))
+    facts_of = scope.select("site", "body", "sitemap", "robots", "llms", "security_txt")
+    joined = findings.join(facts_of, "site", "left").withColumn("told", told)
+    return joined.select(*[c for c in findings.columns if c != "verdict"], "told.*")
 
 
 def weight_shares(spark) -> DataFrame:

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import entropy
-from quarry.plans.expr import java, quoted
+from quarry.plans.expr import holds, java
 
 
 @dataclass(frozen=True)
 class LineRule:
-    """`unless` is found in what follows `find`: the form of a negative look-ahead that both dialects have."""
+    """A pattern that a line breaks; `hints` are lower-case strings of which every such line holds one."""
 
     id: str
     severity: str
@@ -22,42 +22,42 @@ class LineRule:
     find: str
     langs: tuple[str, ...] = ()
     cwe: int = 798
-    look: str = ""  # the same rule with a look-ahead, where it has one
+    hints: tuple[str, ...] = ()
 
 
-# Patterns of secrets and of dangerous code.
+# Fixed values, down to MARKER: patterns of secrets, of dangerous code, of loops, placeholders and marks, and limits.
 SECRETS = (
-    LineRule("stripe-secret-live", "critical", 0.5, "high", r"\bsk_live_[0-9a-zA-Z]{20,}"),
-    LineRule("stripe-restricted-live", "critical", 0.5, "high", r"\brk_live_[0-9a-zA-Z]{20,}"),
-    LineRule("aws-access-key", "critical", 0.5, "high", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
-    LineRule("google-api-key", "high", 0.4, "high", r"\bAIza[0-9A-Za-z\-_]{35}\b"),
-    LineRule("github-token", "critical", 0.4, "high", r"\b(?:ghp|gho|ghu|ghs|ghr)_[0-9A-Za-z]{36}\b|\bgithub_pat_[0-9A-Za-z_]{22,}"),
-    LineRule("slack-token", "high", 0.4, "high", r"\bxox[baprs]-[0-9A-Za-z-]{10,}"),
-    LineRule("sendgrid-key", "high", 0.4, "high", r"\bSG\.[0-9A-Za-z_-]{22}\.[0-9A-Za-z_-]{43}\b"),
-    LineRule("openai-key", "high", 0.4, "high", r"\bsk-(?:proj-)?[0-9A-Za-z_-]{20,}"),
-    LineRule("private-key", "critical", 0.6, "high", r"-----BEGIN (?:RSA |EC |OPENSSH |DSA |PGP )?PRIVATE KEY-----"),
-    LineRule("jwt-hardcoded", "medium", 0.3, "medium", r"\beyJ[0-9A-Za-z_-]{10,}\.eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}"),
-    LineRule("generic-secret-assign", "medium", 0.3, "low", r"(?i)\b(?:api[_-]?key|secret|token|passwd|password|client[_-]?secret|auth[_-]?token)\b\s*[:=]\s*['\"][^'\"\s]{16,}['\"]"),
+    LineRule("stripe-secret-live", "critical", 0.5, "high", r"\bsk_live_[0-9a-zA-Z]{20,}", hints=("sk_live_",)),
+    LineRule("stripe-restricted-live", "critical", 0.5, "high", r"\brk_live_[0-9a-zA-Z]{20,}", hints=("rk_live_",)),
+    LineRule("aws-access-key", "critical", 0.5, "high", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", hints=("akia", "asia")),
+    LineRule("google-api-key", "high", 0.4, "high", r"\bAIza[0-9A-Za-z\-_]{35}\b", hints=("aiza",)),
+    LineRule("github-token", "critical", 0.4, "high", r"\b(?:ghp|gho|ghu|ghs|ghr)_[0-9A-Za-z]{36}\b|\bgithub_pat_[0-9A-Za-z_]{22,}", hints=("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_")),
+    LineRule("slack-token", "high", 0.4, "high", r"\bxox[baprs]-[0-9A-Za-z-]{10,}", hints=("xox",)),
+    LineRule("sendgrid-key", "high", 0.4, "high", r"\bSG\.[0-9A-Za-z_-]{22}\.[0-9A-Za-z_-]{43}\b", hints=("sg.",)),
+    LineRule("openai-key", "high", 0.4, "high", r"\bsk-(?:proj-)?[0-9A-Za-z_-]{20,}", hints=("sk-",)),
+    LineRule("private-key", "critical", 0.6, "high", r"-----BEGIN (?:RSA |EC |OPENSSH |DSA |PGP )?PRIVATE KEY-----", hints=("private key",)),
+    LineRule("jwt-hardcoded", "medium", 0.3, "medium", r"\beyJ[0-9A-Za-z_-]{10,}\.eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}", hints=("eyj",)),
+    LineRule("generic-secret-assign", "medium", 0.3, "low", r"(?i)\b(?:api[_-]?key|secret|token|passwd|password|client[_-]?secret|auth[_-]?token)\b\s*[:=]\s*['\"][^'\"\s]{16,}['\"]", hints=("key", "secret", "token", "passw")),
 )
 CODE = (
-    LineRule("js-eval", "high", 0.4, "medium", r"\beval\s*\(|new\s+Function\s*\(", ("js", "ts"), 95),
-    LineRule("js-inner-html", "high", 0.3, "medium", r"\.(?:inner|outer)HTML\s*(?:\+?=)\s*[A-Za-z_$]", ("js", "ts", "html"), 79),
-    LineRule("react-dangerous-html", "high", 0.3, "medium", r"dangerouslySetInnerHTML\s*=\s*\{\{[^}]*\b", ("jsx", "tsx", "js", "ts"), 79, r"dangerouslySetInnerHTML\s*=\s*\{\{[^}]*\b(?!__html\s*:\s*['\"`])"),
-    LineRule("js-document-write", "medium", 0.3, "medium", r"document\.write(?:ln)?\s*\(", ("js", "ts", "html"), 79),
-    LineRule("cmd-injection", "critical", 0.5, "medium", r"\b(?:exec|execSync|spawn|spawnSync)\s*\(\s*[`'\"][^`'\"]*\$\{|\b(?:exec|execSync)\s*\([^)]*\+", ("js", "ts"), 78),
+    LineRule("js-eval", "high", 0.4, "medium", r"\beval\s*\(|new\s+Function\s*\(", ("js", "ts"), 95, hints=("eval", "function")),
+    LineRule("js-inner-html", "high", 0.3, "medium", r"\.(?:inner|outer)HTML\s*(?:\+?=)\s*[A-Za-z_$]", ("js", "ts", "html"), 79, hints=("html",)),
+    LineRule("react-dangerous-html", "high", 0.3, "medium", r"dangerouslySetInnerHTML\s*=\s*\{\{[^}]*\b(?!__html\s*:\s*['\"`])", ("jsx", "tsx", "js", "ts"), 79, hints=("dangerously",)),
+    LineRule("js-document-write", "medium", 0.3, "medium", r"document\.write(?:ln)?\s*\(", ("js", "ts", "html"), 79, hints=("document.write",)),
+    LineRule("cmd-injection", "critical", 0.5, "medium", r"\b(?:exec|execSync|spawn|spawnSync)\s*\(\s*[`'\"][^`'\"]*\$\{|\b(?:exec|execSync)\s*\([^)]*\+", ("js", "ts"), 78, hints=("exec", "spawn")),
     LineRule("sql-injection", "critical", 0.5, "medium", r"(?i)(?:SELECT|INSERT|UPDATE|DELETE|WHERE|FROM)\b[^;`'\"]*(?:`[^`]*\$\{|['\"]\s*\+\s*[A-Za-z_$])", ("js", "ts", "py", "php"), 89),
-    LineRule("weak-hash", "medium", 0.3, "high", r"(?i)createHash\s*\(\s*['\"](?:md5|sha1)['\"]|hashlib\.(?:md5|sha1)\s*\(", ("js", "ts", "py"), 327),
-    LineRule("weak-cipher", "high", 0.4, "high", r"\bcreateCipher\s*\(|\bcreateDecipher\s*\(", ("js", "ts"), 327),
-    LineRule("tls-disabled", "high", 0.2, "high", r"rejectUnauthorized\s*:\s*false|NODE_TLS_REJECT_UNAUTHORIZED\s*=\s*['\"]?0", ("js", "ts"), 295),
-    LineRule("cors-wildcard", "medium", 0.2, "high", r"Access-Control-Allow-Origin['\"]?\s*[:,]\s*['\"]\*['\"]", ("js", "ts"), 942),
-    LineRule("insecure-random", "medium", 0.3, "low", r"(?i)\b(?:token|secret|nonce|otp|password|salt|apikey|api_key)\b[^;\n]*Math\.random\s*\(", ("js", "ts"), 338),
-    LineRule("cleartext-http", "medium", 0.2, "low", r"(?i)['\"]http://[^'\"\s]+(?:api|auth|login|token|pay)[^'\"\s]*", ("js", "ts", "py", "php", "env"), 319, r"(?i)['\"]http://(?!localhost|127\.0\.0\.1|0\.0\.0\.0)[^'\"\s]+(?:api|auth|login|token|pay)[^'\"\s]*"),
-    LineRule("py-insecure-deser", "high", 0.4, "medium", r"\bpickle\.loads?\s*\(|\byaml\.load\s*\(", ("py",), 502, r"\bpickle\.loads?\s*\(|\byaml\.load\s*\((?![^)]*Loader\s*=\s*yaml\.SafeLoader)"),
-    LineRule("py-shell-true", "high", 0.4, "medium", r"subprocess\.(?:call|run|Popen|check_output)\s*\([^)]*shell\s*=\s*True|\bos\.system\s*\(", ("py",), 78),
+    LineRule("weak-hash", "medium", 0.3, "high", r"(?i)createHash\s*\(\s*['\"](?:md5|sha1)['\"]|hashlib\.(?:md5|sha1)\s*\(", ("js", "ts", "py"), 327, hints=("createhash", "hashlib")),
+    LineRule("weak-cipher", "high", 0.4, "high", r"\bcreateCipher\s*\(|\bcreateDecipher\s*\(", ("js", "ts"), 327, hints=("cipher",)),
+    LineRule("tls-disabled", "high", 0.2, "high", r"rejectUnauthorized\s*:\s*false|NODE_TLS_REJECT_UNAUTHORIZED\s*=\s*['\"]?0", ("js", "ts"), 295, hints=("rejectunauthorized", "reject_unauthorized")),
+    LineRule("cors-wildcard", "medium", 0.2, "high", r"Access-Control-Allow-Origin['\"]?\s*[:,]\s*['\"]\*['\"]", ("js", "ts"), 942, hints=("access-control",)),
+    LineRule("insecure-random", "medium", 0.3, "low", r"(?i)\b(?:token|secret|nonce|otp|password|salt|apikey|api_key)\b[^;\n]*Math\.random\s*\(", ("js", "ts"), 338, hints=("math.random",)),
+    LineRule("cleartext-http", "medium", 0.2, "low", r"(?i)['\"]http://(?!localhost|127\.0\.0\.1|0\.0\.0\.0)[^'\"\s]+(?:api|auth|login|token|pay)[^'\"\s]*", ("js", "ts", "py", "php", "env"), 319, hints=("http://",)),
+    LineRule("py-insecure-deser", "high", 0.4, "medium", r"\bpickle\.loads?\s*\(|\byaml\.load\s*\((?![^)]*Loader\s*=\s*yaml\.SafeLoader)", ("py",), 502, hints=("pickle", "yaml.load")),
+    LineRule("py-shell-true", "high", 0.4, "medium", r"subprocess\.(?:call|run|Popen|check_output)\s*\([^)]*shell\s*=\s*True|\bos\.system\s*\(", ("py",), 78, hints=("subprocess", "os.system")),
 )
 DATA = (
-    LineRule("select-star", "low", 0.3, "", r"(?i)\bSELECT\s+\*\s+FROM\b"),
-    LineRule("no-limit", "info", 0.3, "", r"(?i)\.(?:find|findAll|query)\([^)]*\)", look=r"(?i)\.(?:find|findAll|query)\((?![^)]*limit)[^)]*\)"),
+    LineRule("select-star", "low", 0.3, "", r"(?i)\bSELECT\s+\*\s+FROM\b", hints=("select",)),
+    LineRule("no-limit", "info", 0.3, "", r"(?i)\.(?:find|findAll|query)\((?![^)]*limit)[^)]*\)", hints=(".find", ".query")),
 )
 LOOP, AWAITED = r"for\s*\(|\.map\(|\.forEach\(", r"await\s+.*\.(?:find|query|get|findOne|select)\("
 TODO, DEBUG = r"\b(?:TODO|FIXME|HACK|XXX)\b", r"console\.(?:log|debug)\(|debugger;|print\(|var_dump\("
@@ -90,25 +90,27 @@ def matches(source: DataFrame, rules: tuple[LineRule, ...]) -> DataFrame:
     """
 
     def row(i: int, r: LineRule):
-        pattern = java(r.look or r.find)
+        pattern = java(r.find)
         spoken = (F.col("lang").isNull() | F.col("lang").isin(*r.langs)) if r.langs else F.lit(True)
-        return F.when(spoken & F.col("line").rlike(pattern), F.struct(F.lit(i).alias("seq"), F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.effort).alias("effort"), F.lit(r.confidence).alias("confidence"), F.lit(f"CWE-{r.cwe}").alias("cwe"), F.regexp_extract("line", pattern, 0).alias("match")))
+        hinted = holds("low", r.hints) if r.hints else F.lit(True)
+        return F.when(spoken & hinted & F.col("line").rlike(pattern), F.struct(F.lit(i).alias("seq"), F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.effort).alias("effort"), F.lit(r.confidence).alias("confidence"), F.lit(f"CWE-{r.cwe}").alias("cwe"), F.regexp_extract("line", pattern, 0).alias("match")))
 
     found = F.explode(F.array_compact(F.array(*[row(i, r) for i, r in enumerate(rules)])))
-    return source.select("file", "n", "line", found.alias("f")).select("file", "n", "line", "f.*")
-
-
-def matches_sql(source: str, rules: tuple[LineRule, ...], extra: dict[str, str] | None = None) -> str:
-    """The same rows by SQL over a relation (file, n, line, lang) without look-ahead; `extra` adds a condition to a rule."""
-    parts = []
-    for i, r in enumerate(rules):
-        where = f"regexp_matches(line, {quoted(r.find)})"
-        if r.langs:
-            where += f" AND (lang IS NULL OR lang IN ({', '.join(map(quoted, r.langs))}))"
-        if extra and r.id in extra:
-            where += f" AND {extra[r.id]}"
-        parts.append(f"SELECT file, n, {quoted(r.id)} AS rule, {quoted(r.severity)} AS severity FROM {source} WHERE {where}")
-    return " UNION ALL ".join(parts)
+    hinted = source.select("file", "lang", "n", "line", F.lower("line").alias("low"))
+    return hinted.select("file", "n", "line", found.alias("f")).select("file", "n", "line", "f.*")
+
+
+def scan(documents: DataFrame, rules: tuple[LineRule, ...], file: str = "doc_id", text: str = "text", lang: str | None = None) -> DataFrame:
+    """What `matches` finds in the lines of some texts that aren't suppressed and aren't too long.
+
+    The line before is taken from the text itself, so no window sorts a file.
+    """
+    some = documents.where(F.col(text).isNotNull() & ~F.contains(F.col(text), F.char(F.lit(0))))
+    parts = some.select(F.col(file).alias("file"), (F.lit(None).cast("string") if lang is None else F.col(lang)).alias("lang"), F.split(text, "\r?\n").alias("lines"), F.contains(F.lower(text), F.lit(MARKER)).alias("marked"))
+    rows = parts.select("file", "lang", F.posexplode(F.when(F.col("marked"), F.transform("lines", lambda x, i: F.struct(x.alias("line"), F.get("lines", i - 1).alias("before")))).otherwise(F.transform("lines", lambda x: F.struct(x.alias("line"), F.lit(None).cast("string").alias("before"))))).alias("n", "x"))
+    marked = lambda c: F.contains(F.lower(c), F.lit(MARKER))
+    kept = rows.select("file", "lang", (F.col("n") + 1).alias("n"), "x.line", "x.before").where(~marked("line") & ~F.coalesce(marked("before"), F.lit(False)) & (F.length("line") <= LONGEST))
+    return matches(kept, rules)
 
 
 def secret_verdicts(found: DataFrame) -> DataFrame:

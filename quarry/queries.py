@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry import audit, model
+from quarry import audit, model, oracles
 from quarry.functions import text as txt
 from quarry.operators import audits, contrast, findings, links
 from quarry.plans import dependency_rules, line_rules, page_rules, response_rules
@@ -31,6 +31,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def described(pages: DataFrame) -> DataFrame:
+    """The pages with a description each: their title's words but the last, in capitals."""
+    head = F.concat(F.lit('<meta name="description" content="'), F.upper(F.regexp_extract("html", "<title>([^<]*) [^ <]*</title>", 1)), F.lit('">'))
+    return pages.select("page_id", "url", F.concat(head, "html").alias("html"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that was just read, in as many partitions as there are cores.
+
+    For work that is heavy for each row, where a small table has a few row
+    groups only; a table with more partitions than cores is left as it is, so
+    large ones aren't shuffled.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def values(name: str, columns: str, rows: str) -> tuple[str, str]:
     """A fixture that reads alike in both engines: (query, common table expression)."""
     return f"SELECT * FROM VALUES {rows} AS {name}({columns})", f"{name} AS (SELECT * FROM (VALUES {rows}) AS {name}({columns}))"
@@ -43,7 +60,7 @@ _AGENT = "CASE o_custkey % 15 " + " ".join(f"WHEN {i} THEN '{a}'" for i, a in en
 _VERDICT = "CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'plausible' ELSE 'rejected' END"
 FINDINGS = f"""SELECT o_orderkey AS seq, {_AGENT} AS agent, {_CASE} AS severity, {_VERDICT} AS verdict, CAST(o_orderkey % 20 AS DOUBLE) / 10 AS effort,
   concat('rule-', CAST(o_orderkey % 97 AS VARCHAR(9))) AS rule, concat('https://s/', CAST(o_custkey % 50 AS VARCHAR(9))) AS url,
-  CASE WHEN o_orderkey % 3 = 0 THEN 'gain' ELSE 'risk' END AS kind, concat('https://s/', CAST(o_custkey % 50 AS VARCHAR(9)), '::rule-', CAST(o_orderkey % 97 AS VARCHAR(9))) AS loc_key FROM orders"""
+  CASE WHEN o_orderkey % 3 = 0 THEN 'gain' ELSE 'risk' END AS kind, concat('https://s/', CAST(o_custkey % 50 AS VARCHAR(9)), '::rule-', CAST(o_orderkey % 97 AS VARCHAR(9))) AS loc_key, o_orderdate < TIMESTAMP '1998-01-01' AS early FROM orders"""
 _RANK = "CASE severity " + " ".join(f"WHEN '{k}' THEN {v[0]}" for k, v in model.SEVERITY.items()) + " ELSE 0 END"
 _WEIGHT = "CASE agent " + " ".join(f"WHEN '{k}' THEN {v[2]}" for k, v in model.AGENTS.items()) + " ELSE 1.0 END"
 _CONF = "CASE verdict WHEN 'confirmed' THEN 1.0 WHEN 'plausible' THEN 0.6 ELSE 0.0 END"
@@ -58,7 +75,7 @@ def order_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = F.concat(F.lit("rule-"), (F.col("o_orderkey") % 97).cast("string"))
     url = F.concat(F.lit("https://s/"), (F.col("o_custkey") % 50).cast("string"))
     kind = F.when(F.col("o_orderkey") % 3 == 0, "gain").otherwise("risk")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), agent.alias("agent"), severity.alias("severity"), verdict.alias("verdict"), ((F.col("o_orderkey") % 20).cast("double") / 10).alias("effort"), rule.alias("rule"), url.alias("url"), kind.alias("kind"), F.concat(url, F.lit("::"), rule).alias("loc_key"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), agent.alias("agent"), severity.alias("severity"), verdict.alias("verdict"), ((F.col("o_orderkey") % 20).cast("double") / 10).alias("effort"), rule.alias("rule"), url.alias("url"), kind.alias("kind"), F.concat(url, F.lit("::"), rule).alias("loc_key"), (F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")).alias("early"))
 
 
 def order_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,37 +89,48 @@ AUDITS = "a AS (SELECT o_custkey AS target, o_orderkey AS id, o_orderdate AS mad
 
 def _page_query(agent: str):
     def run(spark, sf_dir):
-        return page_rules.verdicts(table(spark, sf_dir, "pages"), agent)
+        return page_rules.verdicts(spread(table(spark, sf_dir, "pages")), agent)
 
     run.__name__ = f"{agent}_page_rules"
     return run
 
 
 for _agent in page_rules.AGENTS:
-    query(page_rules.verdicts_sql(_agent))(_page_query(_agent))
+    query(oracles.page_verdicts(_agent))(_page_query(_agent))
 
 
-@query(f"WITH {page_rules.FACTS_SQL} SELECT page_id, title, descr, h1, canonical, noindex, words, length(text) AS text_chars FROM known")
+@query(f"WITH {oracles.FACTS} SELECT page_id, title, descr, h1, canonical, noindex, words, length(text) AS text_chars FROM known")
 def page_facts(spark, sf_dir):
     return page_rules.page_facts(table(spark, sf_dir, "pages")).select("page_id", "title", "descr", "h1", "canonical", "noindex", "words", F.length("text").alias("text_chars"))
 
 
-@query(f"SELECT agent, rule, severity, count(*) AS n FROM ({page_rules.findings_sql()}) GROUP BY ALL")
+@query(f"SELECT agent, rule, severity, count(*) AS n FROM ({oracles.page_findings()}) GROUP BY ALL")
 def page_rule_counts(spark, sf_dir):
-    return page_rules.findings(table(spark, sf_dir, "pages")).groupBy("agent", "rule", "severity").agg(F.count("*").alias("n"))
+    return page_rules.findings(spread(table(spark, sf_dir, "pages"))).groupBy("agent", "rule", "severity").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT page_id, agent, rule, severity, {_RANK} AS rank, {_PRIORITY} AS priority FROM ({page_rules.findings_sql()})")
+@query(f"SELECT page_id, agent, rule, severity, {_RANK} AS rank, {_PRIORITY} AS priority FROM ({oracles.page_findings()})")
 def page_findings_ranked(spark, sf_dir):
-    found = audit.page_findings(table(spark, sf_dir, "pages"))
+    found = audit.page_findings(spread(table(spark, sf_dir, "pages")))
     return findings.ranked(found).select("page_id", "agent", "rule", "severity", "rank", "priority")
 
 
-@query(f"WITH {page_rules.FACTS_SQL} SELECT lower(title) AS value, count(*) AS n, min(page_id) AS first_page FROM known WHERE title IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def _repeated(value: str) -> str:
+    return f"""WITH {oracles.FACTS} SELECT lower({value}) AS value, count(*) AS n, min(page_id) AS first_page, arg_min({value}, page_id) AS spelled, array_to_string(list_sort(list(page_id))[:8], ',') AS pages
+      FROM known WHERE {value} IS NOT NULL GROUP BY 1 HAVING count(*) > 1"""
+
+
+@query(_repeated("title"))
 def duplicate_titles(spark, sf_dir):
     return links.duplicates(page_rules.page_facts(table(spark, sf_dir, "pages")), "title")
 
 
+@query(_repeated("descr").replace("FROM pages)", "FROM (SELECT page_id, url, concat('<meta name=\"description\" content=\"', upper(regexp_extract(html, '<title>([^<]*) [^ <]*</title>', 1)), '\">', html) AS html FROM pages))"))
+def duplicate_descriptions(spark, sf_dir):
+    """The pages as if each told its title, without its last word, as its description."""
+    return links.duplicates(page_rules.page_facts(described(table(spark, sf_dir, "pages"))), "descr")
+
+
 LINKS_SQL = r"""
   raw AS (SELECT url, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<a\b[^>]*\bhref\s*=\s*["'']([^"'']+)["'']', 1)) AS href FROM pages),
   own AS (SELECT url, href, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS origin FROM raw),
@@ -128,12 +156,18 @@ def broken_links(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {LINKS_SQL}, reach AS (SELECT url, 0 AS depth FROM pages WHERE page_id % 10 = 0 UNION SELECT e.dst, r.depth + 1 FROM reach r JOIN edges e ON e.src = r.url WHERE r.depth < 3)
+    f"""WITH RECURSIVE {LINKS_SQL}, plain AS (SELECT regexp_replace(url, '#.*$', '') AS u, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS origin FROM pages),
+    named AS (SELECT url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || coalesce(nullif(regexp_replace(regexp_extract(regexp_replace(url, '#.*$', ''), '^[^:]+://[^/?#]*([^?]*)', 1), '/+$', ''), ''), '/') || regexp_extract(regexp_replace(url, '#.*$', ''), '(\\?.+)$', 1) AS name, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS origin FROM pages WHERE regexp_matches(url, '(?i)^https?://')
+      AND NOT regexp_matches(regexp_extract(regexp_replace(url, '#.*$', ''), '^[^:]+://[^/?#]*([^?]*)', 1), '(?i)\\.(png|jpe?g|gif|webp|avif|svg|ico|css|js|mjs|json|xml|txt|pdf|zip|woff2?|ttf|eot|mp4|webm|mp3|map)(\\?|$)')),
+    home AS (SELECT arg_min(name, (length(name), name)) AS url FROM named GROUP BY origin), walk AS (SELECT DISTINCT name AS src, dst FROM edges JOIN named ON src = url),
+    reach AS (SELECT url, 0 AS depth FROM home UNION SELECT e.dst, r.depth + 1 FROM reach r JOIN walk e ON e.src = r.url WHERE r.depth < 40)
     SELECT url, min(depth) AS depth FROM reach GROUP BY url"""
 )
 def crawl_frontier(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    return links.crawl(links.links(pages), pages.where("page_id % 10 = 0").select("url"))
+    found = links.links(pages)
+    named = found.select(links.normal(F.col("src"), links.origin(F.col("src"))).alias("src"), "dst").where("src is not null")
+    return links.crawl(named, links.homes(pages))
 
 
 _TARGETS, _TARGETS_CTE = values("t", "raw", "('example.com'), ('http://localhost/x'), ('ftp://a.b'), ('10.0.0.1'), ('172.20.1.1:80'), ('172.32.1.1'), ('https://[::1]/'), ('a.internal'), (''), ('https://user@192.168.1.1/p'), ('HTTPS://Example.ORG/a?b'), ('169.254.169.254')")
@@ -159,41 +193,40 @@ def page_targets(spark, sf_dir):
 _LINES = "lines AS (SELECT doc_id AS file, CAST(NULL AS VARCHAR) AS lang, generate_subscripts(parts, 1) AS n, unnest(parts) AS line FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS parts FROM documents WHERE text IS NOT NULL))"
 
 
-@query(f"WITH {_LINES} {line_rules.matches_sql('lines', line_rules.SECRETS)}")
+@query(f"WITH {_LINES}, {oracles.suppressed('lines')} {oracles.line_findings('kept', oracles.SECRET_LINES)}")
 def secret_lines(spark, sf_dir):
-    source = line_rules.lines(table(spark, sf_dir, "documents"))
-    return line_rules.matches(source, line_rules.SECRETS).select("file", "n", "rule", "severity")
+    return line_rules.scan(spread(table(spark, sf_dir, "documents")), line_rules.SECRETS).select("file", "n", "rule", "severity")
 
 
 @query(
-    rf"""WITH {_LINES}, m AS (SELECT file, n, line, regexp_extract(line, {line_rules.quoted(line_rules.SECRETS[-1].find)}) AS match FROM lines WHERE regexp_matches(line, {line_rules.quoted(line_rules.SECRETS[-1].find)})),
+    rf"""WITH {_LINES}, m AS (SELECT file, n, line, regexp_extract(line, {oracles.quoted(oracles.SECRET_LINES.strip().splitlines()[-1].split(' | ')[-1])}) AS match FROM lines WHERE regexp_matches(line, {oracles.quoted(oracles.SECRET_LINES.strip().splitlines()[-1].split(' | ')[-1])})),
     v AS (SELECT *, coalesce(nullif(regexp_extract(match, '[''"]([^''"]{{12,}})[''"]', 1), ''), match) AS val FROM m),
     h AS (SELECT *, (SELECT -sum(c * 1.0 / length(val) * log2(c * 1.0 / length(val))) FROM (SELECT ch, count(*) AS c FROM (SELECT unnest(string_split(val, '')) AS ch) GROUP BY ch)) AS e FROM v)
-    SELECT file, n, 'generic-secret-assign' AS rule, round(e, 4) AS bits, CASE WHEN regexp_matches(line, {line_rules.quoted(line_rules.PLACEHOLDER)}) THEN 'rejected' WHEN e < 3.0 THEN 'rejected' ELSE 'plausible' END AS verdict FROM h"""
+    SELECT file, n, 'generic-secret-assign' AS rule, round(e, 4) AS bits, CASE WHEN regexp_matches(line, {oracles.quoted(line_rules.PLACEHOLDER)}) THEN 'rejected' WHEN e < 3.0 THEN 'rejected' ELSE 'plausible' END AS verdict FROM h"""
 )
 def secret_verdicts(spark, sf_dir):
-    source = line_rules.lines(table(spark, sf_dir, "documents"))
+    source = line_rules.lines(spread(table(spark, sf_dir, "documents")))
     return line_rules.secret_verdicts(line_rules.matches(source, line_rules.SECRETS[-1:])).select("file", "n", "rule", "bits", "verdict")
 
 
-@query(f"WITH {_LINES} SELECT file, count(*) AS lines, count(*) FILTER (regexp_matches(line, {line_rules.quoted(line_rules.TODO)})) AS todo, count(*) FILTER (regexp_matches(line, {line_rules.quoted(line_rules.DEBUG)})) AS debug, count(*) > 600 AS large FROM lines GROUP BY file")
+@query(f"WITH {_LINES} SELECT file, count(*) AS lines, count(*) FILTER (regexp_matches(line, {oracles.quoted(line_rules.TODO)})) AS todo, count(*) FILTER (regexp_matches(line, {oracles.quoted(line_rules.DEBUG)})) AS debug, count(*) > 600 AS large FROM lines GROUP BY file")
 def code_quality(spark, sf_dir):
-    return line_rules.quality(line_rules.lines(table(spark, sf_dir, "documents")))
+    return line_rules.quality(line_rules.lines(spread(table(spark, sf_dir, "documents"))))
 
 
 _CODE_ROWS = r"""('a.js','js',1,'eval(x)'), ('a.js','js',2,'el.innerHTML = name'), ('a.js','js',3,'el.innerHTML = "x"'), ('a.js','js',4,'exec("ls " + p)'), ('a.js','js',5,'// audit-ignore'), ('a.js','js',6,'eval(y)'),
  ('a.js','js',7,'rejectUnauthorized: false'), ('a.js','js',8,'crypto.createHash("md5")'), ('a.js','js',9,'const token = Math.random()'), ('b.py','py',1,'yaml.load(f)'), ('b.py','py',2,'yaml.load(f, Loader=yaml.SafeLoader)'),
- ('b.py','py',3,'subprocess.run(c, shell=True)'), ('b.py','py',4,'q = "SELECT * FROM t WHERE a=" + x'), ('b.py','py',5,'fetch("http://localhost/api")'), ('b.py','py',6,'fetch("http://h.io/api")'), ('c.yml',NULL,1,'eval(z)'), ('c.yml',NULL,2,'pickle.loads(b)'),
- ('d.js','js',1,'for (const u of us) {'), ('d.js','js',2,'  const a = 1'), ('d.js','js',3,'  await db.find(u)'), ('d.js','js',4,'}'), ('d.js','js',5,'await db.query({limit: 5})'), ('d.js','js',6,'us.map(f)')"""
+ ('b.py','py',3,'subprocess.run(c, shell=True)'), ('b.py','py',4,'q = "SELECT * FROM t WHERE a=" + x'), ('b.py','py',5,'fetch("http://localhost/api")'), ('b.py','py',6,'fetch("http://h.io/api")'), ('e.js','js',1,'new  Function ("a")'), ('e.js','js',2,'evaluate(x)'), ('e.js','js',3,'document.writeln (x)'), ('e.js','js',4,'document.written(x)'), ('e.js','js',5,'crypto.createCipher("aes", k)'), ('e.js','js',6,'createCipheriv("aes", k)'),
+ ('e.js','js',7,'h["Access-Control-Allow-Origin"] = 1; x = {"Access-Control-Allow-Origin": "*"}'), ('e.js','js',8,'"Access-Control-Allow-Origin": "https://a.io"'), ('e.js','js',9,'<p dangerouslySetInnerHTML={{ __html: x }} />'), ('e.js','js',10,'<p dangerouslySetInnerHTML={{ }} />'), ('e.js','js',11,'const n = Math.random()'),
+ ('e.js','js',12,concat('spawn(`rm $', '{x}`)')), ('e.js','js',13,'const h = crypto.createHash("sha256")'), ('e.py','py',1,'hashlib.sha1 (x)'), ('e.py','py',2,'os.system (c)'), ('e.py','py',3,'subprocess.run(c)'), ('e.py','py',4,'eval(x)'), ('e.py','py',5,'pickle.load(f)'), ('e.py','py',6,'q = "SELECT a FROM t"'), ('e.py','py',7,'fetch("http://0.0.0.0/login")'),
+ ('f.sql',NULL,1,'NODE_TLS_REJECT_UNAUTHORIZED=0'), ('f.sql',NULL,2,'rejectUnauthorized: true'), ('f.sql',NULL,3,'el.outerHTML += y'), ('f.sql',NULL,4,'xinnerHTML = y'), ('c.yml',NULL,1,'eval(z)'), ('c.yml',NULL,2,'pickle.loads(b)'),
+ ('d.js','js',7,'SELECT  * FROM t'), ('d.js','js',8,'db.findAll(x)'), ('d.js','js',9,'db.find(limit)'), ('d.js','js',1,'for (const u of us) {'), ('d.js','js',2,'  const a = 1'), ('d.js','js',3,'  await db.find(u)'), ('d.js','js',4,'}'), ('d.js','js',5,'await db.query({limit: 5})'), ('d.js','js',6,'us.map(f)')"""
 _CODE, _CODE_CTE = values("code", "file, lang, n, line", _CODE_ROWS)
 
 
-@query(
-    f"WITH {_CODE_CTE} "
-    + line_rules.matches_sql("code", line_rules.CODE, {"cleartext-http": r"NOT regexp_matches(line, '[''\"]http://(localhost|127\.0\.0\.1|0\.0\.0\.0)')", "py-insecure-deser": r"(regexp_matches(line, '\bpickle\.loads?\s*\(') OR NOT regexp_matches(line, 'yaml\.load\s*\([^)]*Loader\s*=\s*yaml\.SafeLoader'))"})
-)
+@query(f"WITH {_CODE_CTE}, {oracles.suppressed('code')} {oracles.line_findings('kept', oracles.CODE_LINES)}")
 def sast_lines(spark, sf_dir):
-    return line_rules.matches(spark.sql(_CODE), line_rules.CODE).select("file", "n", "rule", "severity")
+    return line_rules.matches(line_rules.unsuppressed(spark.sql(_CODE)), line_rules.CODE).select("file", "n", "rule", "severity")
 
 
 @query(f"WITH {_CODE_CTE}, m AS (SELECT *, lag(contains(lower(line), 'audit-ignore')) OVER (PARTITION BY file ORDER BY n) AS after FROM code) SELECT file, n, line FROM m WHERE NOT contains(lower(line), 'audit-ignore') AND NOT coalesce(after, false) AND length(line) <= 2000")
@@ -201,12 +234,12 @@ def unsuppressed_lines(spark, sf_dir):
     return line_rules.unsuppressed(spark.sql(_CODE)).select("file", "n", "line")
 
 
-@query(f"WITH {_CODE_CTE}, m AS (SELECT *, string_agg(line, chr(10)) OVER (PARTITION BY file ORDER BY n ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS near FROM code) SELECT file, n FROM m WHERE regexp_matches(line, {line_rules.quoted(line_rules.LOOP)}) AND regexp_matches(near, {line_rules.quoted(line_rules.AWAITED)})")
+@query(f"WITH {_CODE_CTE}, m AS (SELECT *, string_agg(line, chr(10)) OVER (PARTITION BY file ORDER BY n ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS near FROM code) SELECT file, n FROM m WHERE regexp_matches(line, {oracles.quoted(line_rules.LOOP)}) AND regexp_matches(near, {oracles.quoted(line_rules.AWAITED)})")
 def n_plus_one(spark, sf_dir):
     return line_rules.queries_in_loops(spark.sql(_CODE))
 
 
-@query(f"WITH {_CODE_CTE}, m AS ({line_rules.matches_sql('code', line_rules.DATA, {'no-limit': chr(78) + 'OT regexp_matches(line, ' + line_rules.quoted(r'(?i)\.(?:find|findAll|query)\([^)]*limit') + ')'})}) SELECT file, rule, min(n) AS n FROM m GROUP BY file, rule")
+@query(f"WITH {_CODE_CTE}, m AS ({oracles.line_findings('code', oracles.DATA_LINES)}) SELECT file, rule, min(n) AS n FROM m GROUP BY file, rule")
 def data_rules(spark, sf_dir):
     return line_rules.first_in_file(line_rules.matches(spark.sql(_CODE), line_rules.DATA))
 
@@ -309,15 +342,21 @@ def finding_keys(spark, sf_dir):
     return order_findings(spark, sf_dir).select("seq", F.concat(F.upper(F.substring("agent", 1, 3)), F.lit("-"), key).alias("plain"), F.length(key).alias("chars"))
 
 
-@query(None)
+_HASH = "list_reduce(list_concat([CAST(5381 AS BIGINT)], list_transform(string_split(concat(rule, ':', url, ':0'), ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, c: (h * 33 + c) & 4294967295)"
+
+
+@query(_F + f"""SELECT seq, concat(upper(left(agent, 3)), '-', ltrim(array_to_string(list_transform([6, 5, 4, 3, 2, 1, 0], lambda i: substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST((h // CAST(pow(36, i) AS BIGINT)) % 36 AS INTEGER) + 1, 1)), ''), '0')) AS id FROM (SELECT *, {_HASH} AS h FROM f)""")
 def finding_ids(spark, sf_dir):
     return order_findings(spark, sf_dir).select("seq", txt.finding_id(F.col("agent"), F.col("rule"), F.col("url"), F.lit(None).cast("int")).alias("id"))
 
 
-@query(_F + "SELECT CASE WHEN seq % 5 = 0 THEN 'general' ELSE concat('file', CAST(seq % 7 AS VARCHAR)) END AS file, count(*) AS n FROM f WHERE verdict <> 'rejected' GROUP BY 1")
+@query(
+    f"""WITH f AS ({FINDINGS}), g AS (SELECT CASE WHEN kind = 'gain' THEN 'general' ELSE url END AS file, seq, severity, rule AS fix, {_RANK} AS r FROM f WHERE verdict <> 'rejected')
+    SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY r DESC, seq) AS INTEGER) AS place, count(*) OVER (PARTITION BY file) AS n, severity, fix FROM g"""
+)
 def fix_bundle_by_file(spark, sf_dir):
-    f = order_findings(spark, sf_dir).withColumn("file", F.when(F.col("seq") % 5 != 0, F.concat(F.lit("file"), (F.col("seq") % 7).cast("string"))))
-    return findings.standing(f).groupBy(F.coalesce("file", F.lit("general")).alias("file")).agg(F.count("*").alias("n"))
+    f = order_findings(spark, sf_dir)
+    return audits.fixes_by_file(f.withColumn("file", F.when(F.col("kind") != "gain", F.col("url"))).withColumn("fix", F.col("rule")))
 
 
 # Audits over time.
@@ -333,10 +372,10 @@ def score_trend(spark, sf_dir):
     return audits.trend(order_audits(spark, sf_dir))
 
 
-@query(_F + ", p AS (SELECT concat(loc_key, agent) AS key, severity, seq FROM f WHERE seq % 2 = 0), c AS (SELECT concat(loc_key, agent) AS key, severity, seq FROM f WHERE seq % 3 = 0), a AS (SELECT key, arg_max(severity, seq) AS before FROM p GROUP BY key), b AS (SELECT key, arg_max(severity, seq) AS after FROM c GROUP BY key) SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'resolved' ELSE 'persisting' END AS status, coalesce(after, before) AS severity, a.key IS NULL AND coalesce(after, before) IN ('critical', 'high', 'medium') AS regression FROM a FULL JOIN b ON a.key = b.key")
+@query(_F + ", p AS (SELECT concat(loc_key, agent) AS key, severity, seq FROM f WHERE early), c AS (SELECT concat(loc_key, agent) AS key, severity, seq FROM f WHERE NOT early), a AS (SELECT key, arg_max(severity, seq) AS before FROM p GROUP BY key), b AS (SELECT key, arg_max(severity, seq) AS after FROM c GROUP BY key) SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'resolved' ELSE 'persisting' END AS status, coalesce(after, before) AS severity, a.key IS NULL AND coalesce(after, before) IN ('critical', 'high', 'medium') AS regression, b.key IS NULL AND before IN ('critical', 'high', 'medium') AS fixed FROM a FULL JOIN b ON a.key = b.key")
 def findings_diff(spark, sf_dir):
     f = order_findings(spark, sf_dir).withColumn("key", F.concat("loc_key", "agent"))
-    return audits.difference(f.where("seq % 2 = 0"), f.where("seq % 3 = 0"))
+    return audits.difference(f.where("early"), f.where("not early"))
 
 
 @query("WITH s AS (SELECT o_custkey % 100 AS target, o_orderpriority AS domain, CAST(o_orderdate AS DATE) AS made, CAST(max(floor(o_totalprice % 100)) AS INTEGER) AS score FROM orders GROUP BY ALL), l AS (SELECT *, lag(score) OVER (PARTITION BY target, domain ORDER BY made) AS before, max(made) OVER (PARTITION BY target) AS newest FROM s) SELECT target, domain, before, score AS after, score - before AS delta FROM l WHERE made = newest AND before <> score")
@@ -354,8 +393,8 @@ def tenant_rows(spark, sf_dir):
 
 @query("WITH m AS (SELECT c_mktsegment AS tenant, c_nationkey AS email, c_name AS role, c_custkey AS seq FROM customer) SELECT tenant, email, arg_max(role, seq) AS role, max(seq) AS seq FROM m GROUP BY tenant, email")
 def member_upsert(spark, sf_dir):
-    m = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("tenant"), F.col("c_nationkey").alias("email"), F.col("c_name").alias("role"), F.col("c_custkey").alias("seq"))
-    return audits.upsert(m.where("seq % 2 = 0"), m.where("seq % 2 = 1"))
+    m = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("tenant"), F.col("c_nationkey").alias("email"), F.col("c_name").alias("role"), F.col("c_custkey").alias("seq"), (F.col("c_acctbal") >= 0).alias("old"))
+    return audits.upsert(m.where("old").drop("old"), m.where("not old").drop("old"))
 
 
 _KEYS, _KEYS_CTE = values("keys", "api_key, tenant, role", "('pk_a', 'acme', 'member'), ('pk_b', 'beta', 'owner')")
@@ -392,7 +431,7 @@ def _rule_rows(rows):
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + str(x).replace("'", "''") + "'" for x in r) + ")" for r in rows) + ")"
 
 
-_LONG = ", ".join(f"({line_rules.quoted(u)}, {line_rules.quoted(k)}, {line_rules.quoted(v)})" for u, h in _RESP_ROWS for k, v in h.items())
+_LONG = ", ".join(f"({oracles.quoted(u)}, {oracles.quoted(k)}, {oracles.quoted(v)})" for u, h in _RESP_ROWS for k, v in h.items())
 _RESP_CTE = f"h(url, k, v) AS (VALUES {_LONG}), u AS (SELECT DISTINCT url FROM h), r AS (SELECT url, " + ", ".join(f"coalesce((SELECT max(v) FROM h WHERE h.url = u.url AND k = '{k}'), '') AS \"{k}\"" for k in sorted({k for _, h in _RESP_ROWS for k in h} | {"x-frame-options"})) + " FROM u)"
 _MISSING = " UNION ALL ".join(f"SELECT url, '{n}' AS rule FROM r WHERE \"{h}\" = ''" + (" AND url LIKE 'https://%'" if n == "missing-hsts" else " AND NOT contains(\"content-security-policy\", 'frame-ancestors')" if n == "missing-frame" else "") for n, h in response_rules.HEADERS)
 
@@ -456,12 +495,36 @@ def tech_stack(spark, sf_dir):
     return response_rules.stack(_responses(spark))
 
 
-@query("SELECT * FROM (VALUES ('no-sitemap', 'rejected'), ('no-robots', 'confirmed'), ('old', 'rejected'), ('bare', 'plausible'), ('own', 'plausible'), ('proved', 'confirmed'), ('weak', 'plausible')) t(rule, verdict)")
+_SITES, _SITES_CTE = values("sites", "site, body, sitemap, robots, llms, security_txt", """('a', '<html><script type="application/ld+json"><meta name="viewport" content="x"> gtag(1)', true, false, CAST(NULL AS BOOLEAN), true), ('b', '<meta property="og:title" content="t">', false, true, true, false)""")
+_CASES, _CASES_CTE = values(
+    "cases", "id, site, rule, severity, verdict, reason, proof, url, reproducible",
+    ", ".join(
+        f"({i}, '{site}', {row})"
+        for i, (site, row) in enumerate(
+            (site, row)
+            for site in "abc"
+            for row in (
+                *(f"'{rule}', 'medium', 'confirmed', CAST(NULL AS VARCHAR(9)), 'p', CAST(NULL AS VARCHAR(9)), true" for rule in ("no-security-txt", "no-sitemap", "no-robots", "no-llms-txt", "no-structured-data", "no-jsonld-geo", "missing-viewport", "missing-og", "no-analytics")),
+                "'old', 'high', 'rejected', 'x', 'p', NULL, true", "'bare', 'critical', 'confirmed', NULL, NULL, NULL, true", "'bare-low', 'low', 'confirmed', NULL, NULL, NULL, true", "'own', 'low', 'plausible', 'low entropy', 'p', NULL, true",
+                "'own-sure', 'low', 'confirmed', 'seen', 'p', NULL, true", "'default', 'low', 'plausible', 'Observe directement.', 'p', NULL, true", "'proved', 'high', 'confirmed', NULL, 'p', 'u', true", "'weak', 'high', 'confirmed', NULL, 'p', 'u', false", "'url-only', 'high', 'confirmed', '', NULL, 'u', true",
+            )
+        )
+    ),
+)
+
+
+@query(
+    rf"""WITH {_SITES_CTE}, {_CASES_CTE}, j AS (SELECT c.*, coalesce(s.body, '') AS body, coalesce(s.sitemap, false) AS sitemap, coalesce(s.robots, false) AS robots, coalesce(s.llms, false) AS llms, coalesce(s.security_txt, false) AS sec FROM cases c LEFT JOIN sites s ON s.site = c.site),
+    h AS (SELECT *, CASE rule WHEN 'no-security-txt' THEN NOT sec WHEN 'no-sitemap' THEN NOT sitemap WHEN 'no-robots' THEN NOT robots WHEN 'no-llms-txt' THEN NOT llms WHEN 'no-structured-data' THEN NOT contains(body, 'application/ld+json')
+      WHEN 'no-jsonld-geo' THEN CASE WHEN NOT contains(body, 'application/ld+json') THEN true END WHEN 'missing-viewport' THEN NOT regexp_matches(body, 'name="viewport"') WHEN 'missing-og' THEN NOT regexp_matches(body, 'og:title')
+      WHEN 'no-analytics' THEN CASE WHEN regexp_matches(body, 'gtag\(') THEN false END END AS held FROM j),
+    v AS (SELECT id, CASE WHEN verdict = 'rejected' OR held = false THEN 'rejected 0 3' WHEN held THEN 'confirmed 3 0' WHEN proof IS NULL AND url IS NULL AND severity IN ('critical', 'high') THEN 'plausible 1 2' WHEN NOT reproducible THEN 'plausible 2 1'
+      WHEN coalesce(reason, '') NOT IN ('', 'Observe directement.') THEN CASE verdict WHEN 'confirmed' THEN 'confirmed 3 0' ELSE verdict || ' 2 1' END WHEN proof IS NOT NULL THEN 'confirmed 3 0' ELSE 'plausible 2 1' END AS x FROM h)
+    SELECT id, split_part(x, ' ', 1) AS verdict, CAST(split_part(x, ' ', 2) AS INTEGER) AS votes, CAST(split_part(x, ' ', 3) AS INTEGER) AS refuters FROM v"""
+)
 def verify_cascade(spark, sf_dir):
-    schema = "rule string, severity string, verdict string, reason string, proof string, file string, url string, artifact string, reproducible boolean"
-    rows = [("no-sitemap", "medium", "confirmed", None, "p", None, None, None, True), ("no-robots", "low", "confirmed", None, "p", None, None, None, True), ("old", "high", "rejected", "x", "p", None, None, None, True), ("bare", "critical", "confirmed", None, None, None, None, None, True), ("own", "low", "plausible", "low entropy", "p", None, None, None, True), ("proved", "high", "confirmed", None, "p", None, "u", None, True), ("weak", "high", "confirmed", None, "p", None, "u", None, False)]
-    scope = spark.createDataFrame([("<html>", True, False, False, False)], "body string, sitemap boolean, robots boolean, llms boolean, security_txt boolean")
-    return findings.verified(spark.createDataFrame(rows, schema), scope).select("rule", "verdict")
+    cases = spark.sql(_CASES).withColumn("file", F.lit(None).cast("string")).withColumn("artifact", F.lit(None).cast("string"))
+    return findings.verified(cases, spark.sql(_SITES)).select("id", "verdict", "votes", "refuters")
 
 
 _COL, _COL_CTE = values("col", "fg, bg", "('#000000', '#ffffff'), ('#777777', '#ffffff'), ('#fff', '#fff'), ('#0a0', '#123456')")
@@ -562,12 +625,22 @@ def active_agents(spark, sf_dir):
     return findings.active_agents(spark.sql(_SCO)).groupBy("site").agg(F.count("*").alias("agents"))
 
 
-_FIX = "SELECT seq, rule, severity, verdict, file, fix FROM VALUES (1, 'no-robots', 'low', 'confirmed', CAST(NULL AS STRING), 'add it'), (2, 'js-eval', 'high', 'confirmed', 'a.js', 'parse'), (3, 'old', 'high', 'rejected', 'a.js', 'none') AS t(seq, rule, severity, verdict, file, fix)"
+_FIX, _FIX_CTE = values("fixes", "seq, rule, severity, verdict, file, fix", "(1, 'no-robots', 'low', 'confirmed', CAST(NULL AS VARCHAR(9)), 'add it'), (2, 'js-eval', 'high', 'confirmed', 'a.js', 'parse'), (3, 'old', 'high', 'rejected', 'a.js', 'none'), (4, 'weak-hash', 'critical', 'plausible', 'a.js', 'sha256'), (5, 'x', 'info', 'confirmed', 'b.js', 'none')")
 
 
-@query(r"SELECT * FROM (VALUES ('AUDIT.md', concat('# Audit', chr(10), chr(10), '## a.js', chr(10), chr(10), 'parse', chr(10), chr(10), '## general', chr(10), chr(10), 'add it', chr(10)))) t(path, content)")
+@query(
+    f"""WITH {_FIX_CTE}, g AS (SELECT coalesce(file, 'general') AS file, seq, severity, fix, CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END AS r FROM fixes WHERE verdict <> 'rejected'),
+    p AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY r DESC, seq) AS place FROM g)
+    SELECT 'AUDIT.md' AS path, CAST(row_number() OVER (ORDER BY file, place) AS INTEGER) AS line, concat(CASE WHEN place = 1 THEN concat('## ', file, chr(10), chr(10)) ELSE '' END, '- [', severity, '] ', fix) AS content FROM p
+    UNION ALL SELECT 'robots.txt', 1, concat('User-agent: *', chr(10), 'Allow: /', chr(10), chr(10), 'Sitemap: https://b.io/sitemap.xml', chr(10)) WHERE EXISTS (SELECT 1 FROM fixes WHERE rule = 'no-robots') AND 'robots.txt' NOT IN ('LICENSE')"""
+)
 def pull_request_files(spark, sf_dir):
-    return writers.added_files(spark.sql(_FIX), spark.sql("SELECT 'robots.txt' AS path"), "https://a.io/")
+    return writers.added_files(spark.sql(_FIX), spark.sql("SELECT 'LICENSE' AS path"), "https://b.io/")
+
+
+@query(f"WITH {_FIX_CTE} SELECT count(*) AS n FROM fixes WHERE false")
+def files_that_exist_stay(spark, sf_dir):
+    return writers.added_files(spark.sql(_FIX), spark.sql("SELECT explode(array('AUDIT.md', 'robots.txt')) AS path"), "https://a.io/").agg(F.count("*").alias("n"))
 
 
 @query("SELECT * FROM (VALUES ('scanner:eval-use', 'high', 'a.js', 3, 'CWE-95', 'eval(x)'), ('scanner:odd', 'medium', 'b.py', 1, NULL, 'y')) t(rule, severity, file, line, cwe, match)")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.findings import ranked, worth_telling
+from quarry.operators.findings import top, worth_telling
 
 
 def save(audits: DataFrame, path: str) -> None:
@@ -21,7 +21,7 @@ def lines_of_json(events: DataFrame) -> DataFrame:
 def chat_message(findings: DataFrame, site: str, score: int, k: int = 5) -> str:
     """The worst findings as a short text; at most k rows reach the driver."""
     sign = "OK" if score >= 80 else "WARN" if score >= 50 else "BAD"
-    rows = ranked(findings).limit(k).collect()
+    rows = top(findings, k).collect()
     return "\n".join([f"[{sign}] {site} {score}/100", *[f"- {r['severity']}: {r['rule']} ({r['agent']})" for r in rows]])
 
 
@@ -52,14 +52,58 @@ def without_fixes(findings: DataFrame) -> DataFrame:
 
 
 def added_files(findings: DataFrame, existing: DataFrame, site: str) -> DataFrame:
-    """path, content of the files a pull request adds; a path that exists is never written over.
+    """path, line, content of the files a pull request adds, a row for each of their entries; a path that exists is never written over.
 
     findings: rule, severity, verdict, file, seq, fix; existing: path.
     """
     from quarry.operators.audits import fixes_by_file
 
-    section = F.concat(F.lit("## "), "file", F.lit("\n\n"), "fixes", F.lit("\n"))
-    body = fixes_by_file(findings).agg(F.array_join(F.array_sort(F.collect_list(section)), "\n").alias("body"))
-    report = body.where("body <> ''").select(F.lit("AUDIT.md").alias("path"), F.concat(F.lit("# Audit\n\n"), "body").alias("content"))
+    lines = fixes_by_file(findings)
+    marks = F.concat(F.when(F.col("place") == 1, F.concat(F.lit("## "), F.col("file"), F.lit("\n\n"))).otherwise(""), F.lit("- ["), F.col("severity"), F.lit("] "), F.col("fix"))
+    report = lines.select(F.lit("AUDIT.md").alias("path"), F.struct("file", "place").alias("at"), marks.alias("content"))
     robots = findings.where("rule = 'no-robots'").select(F.lit("robots.txt").alias("path"), F.lit(f"User-agent: *\nAllow: /\n\nSitemap: {site.rstrip('/')}/sitemap.xml\n").alias("content")).distinct()
-    return report.unionByName(robots).join(existing.select("path"), "path", "left_anti")
+    every = report.unionByName(robots.select("path", F.struct(F.lit("").alias("file"), F.lit(1).alias("place")).alias("at"), "content"))
+    order = Window.partitionBy("path").orderBy("at")
+    return every.join(existing.select("path"), "path", "left_anti").select("path", F.row_number().over(order).alias("line"), "content")
+
+
+def exit_code(findings: DataFrame) -> int:
+    """1 if a finding is critical or high, else 0."""
+    return 0 if findings.where(F.col("severity").isin("critical", "high")).isEmpty() else 1
+
+
+def band(score):
+    """Column: what a score says in a report."""
+    return F.when(score >= 85, "solid").when(score >= 70, "good base").when(score >= 50, "to consolidate").otherwise("priority work")
+
+
+def sign(score):
+    """Column: the mark of a score in a message."""
+    return F.when(score >= 80, "ok").when(score >= 50, "warn").otherwise("bad")
+
+
+def euros(amount):
+    """Column: a whole amount with spaces between thousands; null is 0."""
+    whole = F.floor(F.coalesce(amount, F.lit(0)) + 0.5).cast("long")
+    return F.replace(F.format_number(whole, 0), F.lit(","), F.lit(" "))
+
+
+def branch(name):
+    """Column: a branch's name: lower case, other characters made single hyphens, none at the ends, 24 characters at most."""
+    return F.concat(F.lit("audit/"), F.substring(F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-|-$", ""), 1, 24))
+
+
+def clean_host(target):
+    """Column: an address without its scheme and a slash at its end."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(target, F.lit("")), "^https?://", ""), "/$", "")
+
+
+def without_markdown(text):
+    """Column: links become their words, white space single; 200 characters at most."""
+    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\[([^\]]+)\]\([^)]+\)", "$1"), r"\s+", " ")), 1, 200)
+
+
+def insert_findings(findings: DataFrame, path: str) -> None:
+    """Append an audit's findings to the store: its columns, with the weakness that each names."""
+    columns = ("audit_id", "agent", "family", "rule", "cwe", "title", "severity", "priority", "location", "business", "fix", "effort", "evidence", "check")
+    findings.select(*columns).write.mode("append").parquet(path)

@@ -98,3 +98,25 @@ def locale_keys(files: DataFrame, largest: int = LARGEST_LOCALE) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"file": pa.array([batch.column(0)[i].as_py()] * len(keys), pa.string()), "key": pa.array(keys, pa.string())})
 
     return kept.mapInArrow(read, "file string, key string")
+
+
+AUDIT = "id string, target string, status string, score int, at timestamp, summary struct<weighted_score:int>, tenant string"
+
+
+def audits(spark: SparkSession, path: str) -> DataFrame:
+    """The audits that `save` wrote: one folder of JSON for each tenant; a folder that isn't there gives no rows."""
+    return optional(spark, path, AUDIT)
+
+
+def optional(spark: SparkSession, path: str, schema: str, format: str = "json") -> DataFrame:
+    """A source that may be missing, such as an outside scanner's report: then an empty table of its schema."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(conf).exists(place):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).format(format).load(path)
+
+
+def browser_allowed(scopes: DataFrame, enabled: bool = True) -> DataFrame:
+    """site, allowed: never if browsers are switched off, else as the site says, else only with a repository; scopes: site, browser_scan, repo."""
+    return scopes.select("site", (F.lit(enabled) & F.coalesce("browser_scan", F.coalesce("repo", F.lit(False)))).alias("allowed"))

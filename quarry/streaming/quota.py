@@ -13,16 +13,18 @@ def admitted(requests: DataFrame, seconds: int = 600, per_user: int = 5, overall
     """event_id, window_id, user_ok, allowed; requests: event_id, user_id, ts.
 
     A user's requests beyond the user quota don't use up the overall one; those
-    beyond the overall quota have used the user's.  At most per_user rows of a
-    user reach the second step, which deals by window.
+    beyond the overall quota have used the user's.  The second step ranks a
+    window's requests as far as `overall` only, so each task sends that many
+    rows of a window at most; the others are not allowed.
     """
     window = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / seconds).cast("long")
     own = Window.partitionBy("user_id", "window_id").orderBy("ts", "event_id")
     ranked = requests.select("event_id", "user_id", "ts", window.alias("window_id")).withColumn("own_rank", F.row_number().over(own))
     within = ranked.where(F.col("own_rank") <= per_user)
     every = Window.partitionBy("window_id").orderBy("ts", "event_id")
-    passed = within.withColumn("rank", F.row_number().over(every)).select("event_id", "window_id", F.lit(True).alias("user_ok"), (F.col("rank") <= overall).alias("allowed"))
-    return passed.unionByName(ranked.where(F.col("own_rank") > per_user).select("event_id", "window_id", F.lit(False).alias("user_ok"), F.lit(False).alias("allowed")))
+    first = within.withColumn("rank", F.row_number().over(every)).where(F.col("rank") <= overall).select("event_id", "window_id", F.lit(True).alias("allowed"))
+    told = ranked.select("event_id", "window_id", (F.col("own_rank") <= per_user).alias("user_ok"))
+    return told.join(first, ["event_id", "window_id"], "left").select("event_id", "window_id", "user_ok", F.coalesce("allowed", F.lit(False)).alias("allowed"))
 
 
 def retry_after(ts, seconds: int = 600):
@@ -64,3 +66,22 @@ def progress(events: DataFrame) -> DataFrame:
     state = F.when(F.col("msg").rlike(r"done \(0\)"), "clean").when(F.col("msg").rlike(r"done \(\d+\)"), "hit").otherwise("scan")
     found = F.coalesce(F.regexp_extract("msg", r"done \((\d+)\)", 1).try_cast("int"), F.lit(0))
     return events.where(agent != "").groupBy("id", agent.alias("agent")).agg(F.max(F.struct("at", state.alias("state"), found.alias("found"))).alias("x")).select("id", "agent", "x.state", "x.found")
+
+
+def progress_totals(states: DataFrame, agents: int = 15) -> DataFrame:
+    """id, done, found, percent of `progress`: how many of the agents have ended."""
+    return states.groupBy("id").agg(F.count_if(F.col("state") != "scan").alias("done"), F.sum("found").cast("long").alias("found")).withColumn("percent", F.floor(100 * F.col("done") / agents + 0.5).cast("long"))
+
+
+def until_end(events: DataFrame) -> DataFrame:
+    """id, place, last, value: each audit's events in order, as lines of JSON, to its first `done` or `error`; events: id, seq, type, data."""
+    order = Window.partitionBy("id").orderBy("seq")
+    ends = F.col("type").isin("done", "error")
+    ended = F.coalesce(F.max(ends).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    kept = events.withColumn("ended", ended).where(~F.col("ended"))
+    return kept.select("id", F.row_number().over(order).alias("place"), ends.alias("last"), F.to_json(F.struct("type", "data")).alias("value"))
+
+
+def of_audit(events: DataFrame, audit: str) -> DataFrame:
+    """One audit's events, of a table or a stream."""
+    return events.where(F.col("id") == audit)
