@@ -38,3 +38,10 @@ def severities(spark):
 
 def agents(spark):
     return spark.createDataFrame([(k, *v) for k, v in AGENTS.items()], "agent string, agent_n int, family string, weight double, activation string")
+
+
+def pages_allowed(asked):
+    """Column: how many pages an audit may read, 1 to 30; 1 where nothing is asked."""
+    from pyspark.sql import functions as F
+
+    return F.least(F.lit(30), F.greatest(F.lit(1), F.coalesce(asked, F.lit(1))))

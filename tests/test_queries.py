@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from quarry import queries
+from quarry import site_queries as queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -40,6 +40,33 @@ def test_same_rows(spark, sf_dir, duck, name):
     assert rows(list(df.columns), [tuple(r) for r in df.collect()]) == rows(names, cursor.fetchall())
 
 
+def test_every_rule_fires_and_misses(duck):
+    from collections import Counter
+
+    from quarry import oracles, site_queries
+
+    told = Counter(r[3] for r in duck.execute(queries.ORACLE["page_rules_fixture"]).fetchall())
+    assert all(0 < told[rule[1]] < len(site_queries._PAGE_ROWS) for rule in oracles.PAGE_RULES)
+    for name, rules in (("secret_rules_fixture", oracles.SECRET_LINES), ("sast_lines", oracles.CODE_LINES), ("data_rules", oracles.DATA_LINES)):
+        cursor = duck.execute(queries.ORACLE[name])
+        at = [d[0] for d in cursor.description].index("rule")
+        told = {r[at] for r in cursor.fetchall()}
+        assert told == {line.split()[0] for line in rules.strip().splitlines()}, name
+
+
+def test_word_boundaries_have_one_side_where_that_is_enough():
+    import re
+
+    from quarry.plans.expr import AFTER, BEFORE, EDGE, java
+
+    assert java(r"\bsk_[a-z]{3}\b") == AFTER + "sk_[a-z]{3}" + BEFORE
+    assert java(r"\b(?:a|b)c\b|<p\b[^>]*\bx") == f"{AFTER}(?:a|b)c{BEFORE}|<p{BEFORE}[^>]*{AFTER}x"
+    assert java(r"[^}]*\b") == "[^}]*" + EDGE and java(r"[a-]{3}\b") == "[a-]{3}" + EDGE
+    for pattern in (r"\b(le|la)\b", r"1(?:\.0)?\b", r"\b[a-z][a-z0-9]*\.(?:title|cta)\b", r"x\b|\by"):
+        for text in ("le", "xle", "la.", "1.0", "1.05", "11", "a.title", "a.titles", "é.cta", "x y", "xy", ""):
+            assert bool(re.search(java(pattern), text, re.A)) == bool(re.search(pattern, text, re.A)), (pattern, text)
+
+
 def test_ids_follow_the_hash(spark, sf_dir):
     from quarry.functions.text import base36, djb2
     from pyspark.sql import functions as F
@@ -194,6 +221,105 @@ def test_names_are_asked_in_order(spark, site):
     assert cert["valid_to"] is None and cert["error"]
 
 
+def test_runs_of_all_agents(spark):
+    from quarry import registry
+    from quarry.operators import canonical, findings
+
+    pages = spark.createDataFrame([(1, "https://a.io/", "<p>x</p>", 200, None), (2, "https://a.io/gone", "", 404, None)], "page_id long, url string, html string, status int, error string")
+    files = spark.createDataFrame([("a", "m.js", "js", "eval(x) // TODO"), ("a", ".env", "env", "A=1")], "repo string, file string, lang string, text string")
+    responses = spark.createDataFrame([("http://a.io/", {"server": "x/1"}, None)], "url string, headers map<string,string>, probe_origin string")
+    found = registry.run(spark, {"pages": pages, "files": files, "responses": responses})
+    got = {(r["agent"], r["rule"]) for r in found.collect()}
+    assert {("seo", "missing-title"), ("security", "js-eval"), ("code-arch", "todo-debt"), ("infra", "env-committed"), ("security", "no-tls"), ("perf", "weak-cache")} <= got
+    assert not found.where("url = 'https://a.io/gone'").count()
+    assert {r["agent"] for r in registry.run(spark, {"pages": pages}, active=("seo", "ux")).select("agent").distinct().collect()} == {"seo", "ux"}
+    broken = registry.run(spark, {"pages": pages}, runners={"seo": [registry.pages], "ux": [lambda f: f["pages"].select("nothing")]}, active=("seo", "ux"))
+    assert {r["rule"] for r in broken.where("agent = 'ux'").collect()} == {"agent-error"} and broken.where("agent = 'seo'").count() > 3
+    scope = spark.createDataFrame([("https://a.io", "gtag(", True, True, True, True)], "site string, body string, sitemap boolean, robots boolean, llms boolean, security_txt boolean")
+    merged = registry.audit(spark, {"pages": pages}, scope)
+    assert not merged.where("rule = 'no-analytics'").count() and merged.where("rule = 'missing-title'").count() == 1
+    assert merged.columns[:2] == ["site", "loc_key"] and canonical.synthesis(merged).count() == 1 and findings.top(merged.withColumn("verdict", merged["check.verdict"]).withColumn("seq", merged["emit_seq"]), 3).count() == 3
+    assert registry.run(spark, {}).count() == 0
+
+
+def test_store_is_read_back(spark, tmp_path):
+    from quarry.operators import canonical
+    from quarry.sinks import writers
+    from quarry.sources import readers
+
+    rows = [("a1", "https://x", "done", 80, "acme"), ("a2", "https://y", "error", None, "beta")]
+    audits = spark.createDataFrame(rows, "id string, target string, status string, score int, tenant string")
+    writers.save(audits, str(tmp_path / "audits"))
+    writers.save(audits.where("tenant = 'beta'").withColumn("status", audits["id"]), str(tmp_path / "audits"))
+    got = {r["id"]: (r["status"], r["tenant"]) for r in readers.audits(spark, str(tmp_path / "audits")).collect()}
+    assert got == {"a1": ("done", "acme"), "a2": ("a2", "beta")}
+    assert readers.audits(spark, str(tmp_path / "none")).count() == 0 and readers.optional(spark, str(tmp_path / "no"), readers.SCANNER).columns == ["results"]
+    raw = spark.createDataFrame([("s", "seo", "r", "high", "CWE-1", "https://s/")], "site string, agent string, rule string, severity string, cwe string, url string")
+    merged = canonical.merge(canonical.canonical(raw)).selectExpr("'a1' AS audit_id", "*")
+    for _ in range(2):
+        writers.insert_findings(merged, str(tmp_path / "findings"))
+    back = spark.read.parquet(str(tmp_path / "findings"))
+    assert back.count() == 2 and back.first()["cwe"] == "CWE-1" and back.first()["location"]["url"] == "https://s/"
+
+
+def test_messages_and_exit_code(spark):
+    from quarry.sinks import writers
+
+    f = spark.createDataFrame([(1, "seo", "low-one", "low", "confirmed", 0.1), (2, "ux", "bad-one", "critical", "confirmed", 0.5), (3, "ux", "odd", "high", "confirmed", 0.2)], "seq long, agent string, rule string, severity string, verdict string, effort double")
+    assert writers.exit_code(f) == 1 and writers.exit_code(f.where("severity = 'low'")) == 0
+    text = writers.chat_message(f, "a.io", 74).split("\n")
+    assert text[0] == "[WARN] a.io 74/100" and [t.split(": ")[0] for t in text[1:]] == ["- critical", "- high", "- low"]
+    assert sorted(r["value"] for r in writers.lines_of_json(f.select("seq", "rule")).collect())[0] == '{"seq":1,"rule":"low-one"}'
+    assert writers.without_fixes(f.withColumn("fix", f["rule"])).columns == f.columns
+    page = writers.report(spark.createDataFrame([("a<b", 1, 90, 2), ("c", 2, None, 0)], "agent string, agent_n int, score long, n long"), "T")
+    assert page.index("a&lt;b") < page.index("not evaluated")
+
+
+def test_new_faults_are_told_once(spark, tmp_path):
+    from quarry.streaming.watch import Watch
+
+    told = []
+    watch = Watch(str(tmp_path / "store"), lambda df: told.append(sorted(map(tuple, df.collect()))))
+    schema = "target string, audit_id string, at int, key string, severity string, seq bigint"
+    batches = [
+        [("x", "1", 1, "k1", "high", 1), ("y", "9", 1, "k1", "high", 1)],
+        [("x", "2", 2, "k1", "high", 1), ("x", "2", 2, "k2", "critical", 2), ("x", "2", 2, "k3", "low", 3), ("z", "5", 2, "k", "high", 1)],
+        [("y", "10", 3, "k7", "medium", 1), ("x", "3", 3, "k1", "high", 1)],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    q = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*")).writeStream.foreachBatch(watch).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert told == [[("x", "k2", "critical")], [("y", "k7", "medium")]]
+    watch(spark.createDataFrame(batches[1], schema), 1)  # run again after a failure
+    assert told[-1] == told[0]
+
+
+def test_audits_wait_for_their_turn(spark):
+    from quarry.streaming.watch import in_turn
+
+    def job(n):
+        return lambda: spark.range(n).count() if n else 1 / 0
+
+    got = in_turn(spark, [job(3), job(0), job(5), job(7)], at_once=2)
+    assert got[0] == 3 and isinstance(got[1], ZeroDivisionError) and got[2:] == [5, 7]
+
+
+def test_events_of_one_audit(spark):
+    from quarry.streaming.quota import of_audit
+
+    assert [r["seq"] for r in of_audit(spark.createDataFrame([("x", 1), ("y", 2)], "id string, seq int"), "y").collect()] == [2]
+
+
+def test_repository_signals(spark):
+    from quarry.sources import readers
+
+    files = spark.createDataFrame([("a", '{"dependencies":{"pg":"1"},"devDependencies":{"x":"1"}}'), ("b", '{"devDependencies":{"nodemailer":"1"}}'), ("c", "no json")], "file string, text string")
+    assert sorted(map(tuple, readers.packages(files).collect())) == [("a", True, False), ("b", False, True), ("c", False, False)]
+    env = spark.createDataFrame([("x/.env",), (".env.example",), ("a/.env.local",), ("env",)], "file string")
+    assert sorted(r["file"] for r in readers.committed_env(env).collect()) == ["a/.env.local", "x/.env"]
+
+
 def test_a_broken_agent_is_a_finding(spark):
     from quarry import audit
 
