@@ -141,6 +141,17 @@ def counted(html: str, sheets: list[str]):
         yield list(fg), list(bg), large, n, first, example, sure
 
 
+SMALL, COPIES = 4_000_000, 64
+
+
+def _copied(wanted: DataFrame, sheets: DataFrame) -> DataFrame:
+    """Each page's sheets with their text; sheets of SMALL bytes in all are broadcast, others dealt in COPIES, as one sheet may serve most pages."""
+    if (sheets.agg(F.sum(F.octet_length("css"))).first()[0] or 0) <= SMALL:
+        return wanted.join(F.broadcast(sheets), "sheet")
+    copies = sheets.select("*", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("copy"))
+    return wanted.withColumn("copy", F.pmod(F.xxhash64("page_id"), F.lit(COPIES)).cast("int")).join(copies, ["sheet", "copy"])
+
+
 def with_sheets(pages: DataFrame, sheets: DataFrame | None) -> DataFrame:
     """page_id, html, linked: the first linked style sheets of the page's own origin; sheets: url, css."""
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
@@ -149,7 +160,7 @@ def with_sheets(pages: DataFrame, sheets: DataFrame | None) -> DataFrame:
     hrefs = F.transform(F.filter(opening(F.col("html"), "link"), lambda x: x.rlike(r"(?i)rel\s*=\s*[\"']stylesheet[\"']")), lambda x: attribute(x, "href"))
     wanted = base.select("page_id", "url", F.posexplode(F.slice(F.filter(hrefs, lambda h: h.isNotNull()), 1, LINKED)).alias("place", "href"))
     wanted = wanted.select("page_id", "place", origin(F.col("url")).alias("own"), resolve(F.col("href"), F.col("url")).alias("sheet")).where(origin(F.col("sheet")) == F.col("own"))
-    got = wanted.join(sheets.select(F.col("url").alias("sheet"), "css"), "sheet").groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "css"))), lambda x: x["css"]).alias("linked"))
+    got = _copied(wanted, sheets.select(F.col("url").alias("sheet"), "css")).groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "css"))), lambda x: x["css"]).alias("linked"))
     return base.join(got, "page_id", "left").select("page_id", "html", "linked")
 
 

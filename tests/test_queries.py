@@ -176,7 +176,7 @@ def site():
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):
             path = urlparse(self.path)
-            status, kind, body = {"/": (200, "text/html", "<p>é</p>"), "/robots.txt": (200, "text/plain", "User-agent: *"), "/logo": (200, "image/png", "x"), "/bad-dns": (500, "text/plain", "")}.get(path.path, (404, "text/plain", "none"))
+            status, kind, body = {"/": (200, "text/html", "<p>é</p>"), "/robots.txt": (200, "text/plain", "User-agent: *"), "/logo": (200, "image/png", "x"), "/bad-dns": (500, "text/plain", ""), "/a": (200, "text/html", '<a href="./b/">b</a><a href="https://other.io/x">o</a><link rel="stylesheet" href="/s.css">'), "/b": (200, "text/html", '<a href="/gone">g</a><a href="../x.png">i</a>'), "/s.css": (200, "text/css", "p{color:#999}")}.get(path.path, (404, "text/plain", "none"))
             if path.path == "/dns":
                 known = parse_qs(path.query)["name"] == ["a.io"]
                 status, kind, body = 200, "application/json", json.dumps({"Status": 0, "Answer": [{"data": '"v=spf1"'}]} if known else {"Status": 3})
@@ -210,6 +210,35 @@ def test_pages_are_fetched(spark, site):
     assert (facts["robots"], facts["sitemap"], facts["robots_body"], facts["status"]) == (True, False, "User-agent: *", 200)
 
 
+def test_sites_are_crawled(spark, site):
+    from quarry.sources import site as sites
+
+    seeds = spark.createDataFrame([(site,), (site + "/a#x",)], "url string")
+    got = {r["url"]: (r["depth"], r["status"]) for r in sites.crawl(seeds, guard=False).collect()}
+    assert got == {site + "/": (0, 200), site + "/a": (0, 200), site + "/b": (1, 200), site + "/gone": (2, 404)}
+    few = sites.crawl(seeds, max_pages=3, guard=False)
+    assert sorted(r["url"] for r in few.collect()) == [site + "/", site + "/a", site + "/b"]
+    broken = {r["url"]: r["status"] for r in sites.broken_links(few, guard=False).collect()}
+    assert broken == {site + "/gone": 404}
+    sheets = sites.style_sheets(few.select("url", "html"), guard=False).collect()
+    assert [(r["url"], r["css"]) for r in sheets] == [(site + "/s.css", "p{color:#999}")]
+
+
+def test_mail_questions(spark):
+    from quarry.sources.site import SELECTORS, mail_questions
+
+    asked = mail_questions(spark.createDataFrame([("www.a.io",), ("a.io",)], "domain string")).collect()
+    assert len(asked) == 3 + len(SELECTORS) and {(r["kind"], r["name"], r["type"]) for r in asked} >= {("mx", "a.io", "MX"), ("dmarc", "_dmarc.a.io", "TXT"), ("dkim", "google._domainkey.a.io", "TXT")}
+
+
+def test_sheets_that_are_too_large_to_send_whole(spark, monkeypatch):
+    from quarry.operators import contrast
+
+    whole = queries.QUERIES["low_contrast"](spark, "").collect()
+    monkeypatch.setattr(contrast, "SMALL", 0)
+    assert sorted(map(tuple, queries.QUERIES["low_contrast"](spark, "").collect())) == sorted(map(tuple, whole))
+
+
 def test_names_are_asked_in_order(spark, site):
     from quarry.sources import fetch
 
