@@ -1,45 +1,54 @@
 """Exact and fast batch encoding: each distinct run between cuts is encoded once.
 
 A cut is a place that no token can span.  `split(text)` returns the runs of a
-text; the ids of a text are the ids of its runs put together.  The memo lives
-as long as the worker process, holds a bounded number of short runs and is
-emptied when it is full, so memory does not follow the vocabulary of the
-corpus.
+text; the ids of a text are the ids of its runs put together.  The memo holds a
+bounded number of bytes and is emptied when it is full, so memory does not
+follow the vocabulary of the corpus; a worker process that another operator
+uses next gives it back.
 """
 
 from __future__ import annotations
 
 import re
-import sys
-import types
 from array import array
 
 import numpy as np
 
-MEMO_RUNS = 700_000
-MEMO_LENGTH = 48
-
+from quarry.llm._util import in_process as in_process
 
-def in_process(key, make):
-    """What `make` returned when this process first asked for `key`."""
-    held = sys.modules.setdefault("quarry_in_process", types.ModuleType("quarry_in_process")).__dict__
-    if key not in held:
-        held[key] = make()
-    return held[key]
+MEMO_BYTES = 128_000_000
+MEMO_LENGTH = 48
+#: What a key and its bytes take besides their characters: two objects' heads and a place in the table.
+ENTRY = 180
 
 
 class Memo(dict):
-    """Bytes of the ids of each key, made when first asked for."""
+    """Bytes of the ids of each key, made when first asked for.
+
+    It holds about `most` bytes in two generations: when the younger one is
+    half of that, the older one goes, but for keys that were asked for since.
+    """
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, most: int = MEMO_BYTES):
+        self.make, self.most, self.held, self.older = make, most, 0, {}
 
     def __missing__(self, key: str) -> bytes:
-        made = self.make(key)
-        if len(key) <= MEMO_LENGTH:
-            self[key] = made
+        made = self.older.pop(key, None)
+        if made is None:
+            made = self.make(key)
+            if len(key) > MEMO_LENGTH:
+                return made
+        self[key] = made
+        self.held += ENTRY + 4 * len(key) + len(made)
         return made
 
+    def age(self):
+        """Let a generation go if the memo is full; between texts, as makers of a run look up its parts."""
+        if self.held > self.most / 2:
+            self.older = dict(self)
+            self.clear()
+            self.held = 0
+
 
 class RunEncoder:
     """Encodes texts to little-endian ids, through a memo of short runs.
@@ -47,16 +56,15 @@ class RunEncoder:
     `split` gives a text's runs, `encode` the bytes of one run's ids.
     """
 
-    def __init__(self, split, encode, dtype: str, runs: int = MEMO_RUNS):
-        self.split, self.dtype, self.runs = split, dtype, runs
+    def __init__(self, split, encode, dtype: str):
+        self.split, self.dtype = split, dtype
         self.memo = Memo(encode)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out, known = [], self.memo.__getitem__
         for text in texts:
             out.append(b"".join(map(known, self.split(text))))
-            if len(self.memo) > self.runs:
-                self.memo.clear()
+            self.memo.age()
         return out
 
 
@@ -73,13 +81,14 @@ def mark_cuts(text: str, odd) -> list[str] | None:
     return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
 
-def byte_level(path: str) -> RunEncoder:
+def byte_level(path: str, special: bool = True) -> RunEncoder:
     """The encoder of a byte-level BPE file of the tokenizers library.
 
     Its pattern starts a new pre-token at each space that stands between two
     characters that are not white space, and a line feed between two such
     characters is a pre-token of its own.  White space that meets white space
-    is left inside its run.  Special tokens' strings are ordinary text.
+    is left inside its run.  With `special`, the string of a special token in a
+    text is that token, as the library has it; without, it is ordinary text.
     """
     import json
 
@@ -87,12 +96,14 @@ def byte_level(path: str) -> RunEncoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not special
     size = tokenizer.get_vocab_size()
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     steps = spec.get("pre_tokenizer") or {}
-    if spec.get("normalizer") or steps.get("type") != "ByteLevel" or steps.get("add_prefix_space") or not steps.get("use_regex", True):
+    added = [t for t in spec.get("added_tokens") or () if special or not t.get("special")]
+    loose = any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word"))
+    if loose or spec.get("normalizer") or steps.get("type") != "ByteLevel" or steps.get("add_prefix_space") or not steps.get("use_regex", True):
         whole = lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, id_dtype(size)).tobytes()
         return RunEncoder(lambda t: [t] if t else [], whole, id_dtype(size))
     # Fixed value: the pattern of the byte-level pre-tokenizer.
@@ -105,15 +116,24 @@ def byte_level(path: str) -> RunEncoder:
     tokenize, pieces = tokenizer.model.tokenize, pattern.findall
 
     code = "H" if size <= 1 << 16 else "I"
+    marks = {t["content"]: array(code, [t["id"]]).tobytes() for t in added}
+    mark = re.compile("(" + "|".join(map(re.escape, sorted(marks, key=len, reverse=True))) + ")")
 
-    def split(text: str) -> list[str]:
+    def between(text: str) -> list[str]:
         return (mark_cuts(text, odd) or cut.split(text)) if text else []
 
+    def split(text: str) -> list[str]:
+        if not any(m in text for m in marks):
+            return between(text)
+        return [run for part in mark.split(text) for run in ([part] if part in marks else between(part))]
+
     def one(piece: str) -> bytes:
         shape = piece.replace(" ", space) if plain.fullmatch(piece) else piece.encode().decode("latin-1").translate(shown)
         return array(code, [t.id for t in tokenize(shape)]).tobytes()
 
     def encode(run: str) -> bytes:
+        if run in marks:
+            return marks[run]
         found = pieces(run)
         return one(run) if len(found) == 1 else b"".join(map(made.memo.__getitem__, found))  # a pre-token is a run too
 

@@ -13,8 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._util import filter_rows, id_crc, text_slices
-from quarry.llm.encoding import in_process
+from quarry.llm._util import Shared, filter_rows, id_crc, lasting, text_slices, tidy
 
 ORDERS = (3, 4)
 SLOTS = 1 << 18
@@ -28,11 +27,12 @@ def letter_table() -> np.ndarray:
 
 
 def pieces(text: str) -> list[str]:
-    """A long text in parts of about SLICE characters, cut at white space where there is some."""
+    """A long text in parts of SLICE characters and what is left of the word that they end in, so that no word is cut."""
     out, at = [], 0
     while len(text) - at > 2 * SLICE:
-        end = max(text.rfind(" ", at, at + SLICE), text.rfind("\n", at, at + SLICE))
-        end = end if end > at else at + SLICE
+        end = at + SLICE
+        while end < len(text) and text[end].isalpha():
+            end += 1
         out.append(text[at:end])
         at = end
     return [*out, text[at:]]
@@ -44,7 +44,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     Texts are lower-cased; what isn't a letter becomes one space, and a space
     stands at both ends.  An n-gram has no space inside.
     """
-    letters = in_process("letters", letter_table)
+    letters = lasting("letters", letter_table)
     texts = [t.lower() for t in texts]
     code = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
@@ -130,7 +130,11 @@ def fit(docs: DataFrame, sample: int = 4_000, least: int = 2, share: float = 2e-
 
     `sample` bounds the expected number of rows read of each language; they
     are taken by a hash of their id.  An n-gram enters a language's slice if it
-    is seen `least` times and makes up `share` of the language's n-grams.
+    is seen `least` times and makes up `share` of the language's n-grams; on a
+    table so small that it leaves a language none, texts of that language
+    have no n-gram of it.  Languages stand in the order of their rows, most
+    first, then by name: of languages that fit a text equally well the first
+    is told.  An empty table, or one without languages, gives a filter of none.
     """
     taught = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang")).where(F.col("lang").isNotNull() & (id_crc("id") % 3 != 1))
     sizes = {r["lang"]: r["n"] for r in taught.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").collect()}
@@ -155,7 +159,7 @@ def fit(docs: DataFrame, sample: int = 4_000, least: int = 2, share: float = 2e-
                     value, times = np.unique(h[lang == i], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), i, np.int32)), pa.array(value.view(np.int64)), pa.array(times.astype(np.int64))], ["lang", "gram", "n"])
 
-    counted = taught.select("text", "lang").mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = taught.select("text", "lang").mapInArrow(tidy(count), "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     whole = counted.groupBy("lang").agg(F.sum("n").alias("whole"))
     kept = counted.join(whole, "lang").where((F.col("n") >= least) & (F.col("n") >= share * F.col("whole")))
 
@@ -165,7 +169,7 @@ def fit(docs: DataFrame, sample: int = 4_000, least: int = 2, share: float = 2e-
             for slot in slots(h, size, hashes):
                 yield pa.RecordBatch.from_arrays([pa.array((lang // BITS).astype(np.int32)), pa.array(slot), pa.array(np.int64(1) << (lang % BITS).astype(np.int64))], ["word", "slot", "bit"])
 
-    placed = kept.select("lang", "gram").mapInArrow(place, "word int, slot long, bit long").groupBy("word", "slot").agg(F.bit_or("bit").alias("mask"))
+    placed = kept.select("lang", "gram").mapInArrow(tidy(place), "word int, slot long, bit long").groupBy("word", "slot").agg(F.bit_or("bit").alias("mask"))
     masks = np.zeros(((len(languages) + BITS - 1) // BITS, size), np.int64)
     for r in placed.toLocalIterator():
         masks[r["word"], r["slot"]] = r["mask"]
@@ -180,16 +184,16 @@ def predict(docs: DataFrame, model: Filter, id_column: str = "doc_id", text_colu
     coverage is the share itself.  A null id is not held out; repeated rows
     stay; an empty table gives no rows; other columns are not read.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = Shared(docs.sparkSession, model)
 
     def run(batches):
         for batch in batches:
             for first, texts in text_slices(batch, "text", SLICE):
-                lang, score, coverage = held.value.decide(texts)
+                lang, score, coverage = held.value().decide(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(lang, pa.string()), pa.array(score), pa.array(coverage)], ["doc_id", "lang_pred", "score", "coverage"])
 
     read = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    told = read.mapInArrow(run, "doc_id long, lang_pred string, score double, coverage double")
+    told = read.mapInArrow(tidy(run, held.key), "doc_id long, lang_pred string, score double, coverage double")
     return told.select("doc_id", F.coalesce(id_crc("doc_id") % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "coverage")
 
 
@@ -203,12 +207,12 @@ def select(docs: DataFrame, model: Filter, coverage: float, text_column: str = "
 
     Without any learned language nothing can be told and all rows with a letter stay.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = Shared(docs.sparkSession, model)
 
     def decide(texts):
-        if not held.value.languages:
+        if not held.value().languages:
             return [any(map(str.isalpha, t)) for t in texts]
-        lang, _, share = held.value.decide(texts)
+        lang, _, share = held.value().decide(texts)
         return (np.array(lang, object) != "und") & (share >= coverage)
 
-    return filter_rows(docs, text_column, decide)
+    return filter_rows(docs, text_column, decide, held.key)

@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._util import checkpoint, text_slices
-from quarry.llm.encoding import byte_level, id_dtype, in_process
+from quarry.llm._util import checkpoint, in_process, text_slices, tidy
+from quarry.llm.encoding import byte_level, id_dtype
 
-SLICE = 2_000_000
+SLICE = 500_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -54,14 +54,15 @@ def cut(begin: int, end: int, window: int, tail: list[int]) -> list[tuple[int, i
     return out
 
 
-def encoded(docs: DataFrame, path: str, separator: int, id_column: str, text_column: str) -> DataFrame:
+def encoded(docs: DataFrame, path: str, separator: int, special: bool, id_column: str, text_column: str) -> DataFrame:
     """doc_id, part, before (ids before it in its part), ids (with the separator), n; checkpointed."""
+    own = ("byte_level", path, special)
 
     def encode(batches):
         from pyspark import TaskContext
 
         part, before = TaskContext.get().partitionId(), 0
-        encoder = in_process(("byte_level", path), lambda: byte_level(path))
+        encoder = in_process(own, lambda: byte_level(path, special))
         end, width = np.array([separator], encoder.dtype).tobytes(), np.dtype(encoder.dtype).itemsize
         for batch in batches:
             for first, texts in text_slices(batch, "text", SLICE):
@@ -72,21 +73,22 @@ def encoded(docs: DataFrame, path: str, separator: int, id_column: str, text_col
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([part] * len(texts), pa.int32()), pa.array(starts), pa.array(ids, pa.binary()), pa.array(n)], ["doc_id", "part", "before", "ids", "n"])
 
     read = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return checkpoint(read.mapInArrow(encode, "doc_id long, part int, before long, ids binary, n long"))
+    return checkpoint(read.mapInArrow(tidy(encode, own), "doc_id long, part int, before long, ids binary, n long"))
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 2048, separator: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 2048, separator: int = 1, special: bool = True, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each piece of a document in a sequence.
 
     `tokenizer` is the path of a file of the tokenizers library, on every
-    executor.  A null or empty text is the separator alone; a null id stays
-    null; repeated rows are packed each for itself; an empty table gives no
+    executor.  The string of a special token in a text is that token, as the
+    library has it; with `special` false it is ordinary text.  A null or empty
+    text is the separator alone; a null id stays null; repeated rows are packed each for itself; an empty table gives no
     rows; other columns are not read.  The order of documents is that of the
     input's partitions.
     """
     if window < 1 or window & window - 1:
         raise ValueError("the window must be a power of two")
-    done = encoded(docs, tokenizer, separator, id_column, text_column)
+    done = encoded(docs, tokenizer, separator, special, id_column, text_column)
     totals = {r["part"]: r["n"] for r in done.groupBy("part").agg(F.sum("n").alias("n")).collect()}
     parts = sorted(totals)
     offsets = dict(zip(parts, itertools.accumulate([0, *[totals[p] for p in parts]])))
@@ -94,11 +96,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, separator: int = 1
     tail = tail_edges(total, window)
 
     def pieces(batches):
-        dtype = None
         for batch in batches:
             cols, crcs = [[] for _ in range(6)], []
-            for doc, part, before, ids, n in zip(*[batch.column(i).to_pylist() for i in range(5)]):
-                dtype = id_dtype(1 << 16 if len(ids) == 2 * n else 1 << 32)
+            for doc, part, before, ids, n in zip(*[batch.column(i).to_pylist() for i in range(3)], (x.as_buffer() for x in batch.column(3)), batch.column(4).to_pylist()):
+                dtype = id_dtype(1 << 16 if ids.size == 2 * n else 1 << 32)
                 ids, base = np.frombuffer(ids, dtype).astype("<u4"), offsets[part] + before
                 for a, b, number, offset in cut(base, base + n, window, tail):
                     crcs.append(zlib.crc32(ids[a - base : b - base]))
@@ -107,4 +108,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, separator: int = 1
             doc, start, length, n, number, offset = [pa.array(x, pa.int64()) for x in cols]
             yield pa.RecordBatch.from_arrays([doc, start, length, pa.array(crcs, pa.int64()), n, number, offset], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return done.mapInArrow(pieces, PIECES)
+    return done.mapInArrow(tidy(pieces), PIECES)

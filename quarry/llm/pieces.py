@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._util import text_slices
-from quarry.llm.encoding import MEMO_LENGTH, id_dtype, in_process
+from quarry.llm._util import in_process, text_slices, tidy
+from quarry.llm.encoding import ENTRY, MEMO_BYTES, MEMO_LENGTH, id_dtype
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
-SLICE, MEMO_RUNS = 2_000_000, 900_000
+SLICE, AT_ONCE = 500_000, 4_096
 
 
 def fields(message: bytes):
@@ -125,6 +125,7 @@ class PieceEncoder:
         self.other = SentencePieceProcessor(model_proto=data)
         self.dtype = id_dtype(len(self.model.pieces))
         self.memo: dict[str, bytes] = {}
+        self.held = 0
         self.bad: set[str] = set()
         self.edge = re.compile(f"(?<=[^{MARK}])(?={MARK})")
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind in (CONTROL, UNKNOWN) else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
@@ -141,20 +142,24 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         cut = [self.split(t) for t in texts]
         new = list(set().union(*cut).difference(self.memo)) if cut else []
-        ids = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        told = self.other.encode([r.replace(MARK, " ") for r in new] if self.cuttable else new, num_threads=1)
-        self.bad.update(r for r, a, b in zip(new, ids, told) if a != b)
-        self.memo.update((r, np.array(x, self.dtype).tobytes()) for r, x in zip(new, ids))
+        for k in range(0, len(new), AT_ONCE):
+            some = new[k : k + AT_ONCE]
+            ids = [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
+            told = self.other.encode([r.replace(MARK, " ") for r in some] if self.cuttable else some, num_threads=1)
+            self.bad.update(r for r, a, b in zip(some, ids, told) if a != b)
+            self.memo.update((r, np.array(x, self.dtype).tobytes()) for r, x in zip(some, ids))
         out = [b"".join(map(self.memo.__getitem__, runs)) for runs in cut]
         same = [not self.bad or self.bad.isdisjoint(runs) for runs in cut]
-        if len(self.memo) > MEMO_RUNS:
+        for r in new:
+            if len(r) > MEMO_LENGTH:
+                del self.memo[r]
+                self.bad.discard(r)
+            else:
+                self.held += ENTRY + 4 * len(r) + len(self.memo[r])
+        if self.held > MEMO_BYTES:
             self.memo.clear()
             self.bad.clear()
-        else:
-            for r in new:
-                if len(r) > MEMO_LENGTH:
-                    del self.memo[r]
-                    self.bad.discard(r)
+            self.held = 0
         return out, same
 
     def decode(self, ids: bytes) -> str:
@@ -180,11 +185,15 @@ def encode(docs: DataFrame, model: str, id_column: str = "doc_id", text_column:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(ids, pa.binary()), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(same)], ["doc_id", "ids", "n_tokens", "parity"])
 
     read = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return read.mapInArrow(run, "doc_id long, ids binary, n_tokens long, parity boolean")
+    return read.mapInArrow(tidy(run, ("pieces", model)), "doc_id long, ids binary, n_tokens long, parity boolean")
 
 
 def decode(coded: DataFrame, model: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
-    """doc_id, text of rows that `encode` made; null ids give an empty text."""
+    """doc_id, text of rows that `encode` made.
+
+    Null or empty ids give an empty text; a null doc_id and repeated rows
+    stay; an empty table gives no rows; other columns are not read.
+    """
 
     def run(batches):
         encoder = in_process(("pieces", model), lambda: PieceEncoder(model))
@@ -192,11 +201,16 @@ def decode(coded: DataFrame, model: str, id_column: str = "doc_id", ids_column:
             texts = [encoder.decode(x or b"") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return coded.select(F.col(id_column).cast("long").alias("doc_id"), F.col(ids_column).alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return coded.select(F.col(id_column).cast("long").alias("doc_id"), F.col(ids_column).alias("ids")).mapInArrow(tidy(run, ("pieces", model)), "doc_id long, text string")
 
 
 def digest(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids), parity, round_trip (decoding gives the text)."""
+    """doc_id, n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids), parity, round_trip (decoding gives the text).
+
+    A null or empty text has no tokens, the crc of nothing (0), and makes the
+    round trip; null ids and repeated rows stay; an empty table gives no rows;
+    other columns are not read.
+    """
 
     def run(batches):
         encoder = in_process(("pieces", model), lambda: PieceEncoder(model))
@@ -209,4 +223,4 @@ def digest(docs: DataFrame, model: str, id_column: str = "doc_id", text_column:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(crc, pa.int64()), pa.array(same), pa.array(back)], ["doc_id", "n_tokens", "ids_crc32", "parity", "round_trip"])
 
     read = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return read.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean")
+    return read.mapInArrow(tidy(run, ("pieces", model)), "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean")
