@@ -94,3 +94,15 @@ def client(headers: Column) -> Column:
     """Who asks: the address the edge saw, else the first that was forwarded, else `unknown`; headers: a map."""
     told = lambda name: F.nullif(F.trim(F.get(F.split(F.coalesce(F.try_element_at(headers, F.lit(name)), F.lit("")), ","), F.lit(0))), F.lit(""))
     return F.coalesce(F.nullif(F.try_element_at(headers, F.lit("x-nf-client-connection-ip")), F.lit("")), told("x-forwarded-for"), F.lit("unknown"))
+
+
+def origin_of(target: Column) -> Column:
+    """Scheme, host and port of an address, https where it names no scheme; other text stays as it is."""
+    full = F.when(target.rlike("^https?://"), target).otherwise(F.concat(F.lit("https://"), target))
+    own = F.regexp_replace(F.lower(F.regexp_extract(full, r"^(https?://[^/?#\s]+)", 1)), "^(https?://)[^@]*@", "$1")
+    return F.coalesce(F.nullif(own, F.lit("")), target)
+
+
+def host_of(target: Column) -> Column:
+    """Host and port of an address; other text stays as it is."""
+    return F.regexp_replace(origin_of(target), "^https?://", "")

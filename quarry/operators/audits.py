@@ -33,10 +33,15 @@ def difference(previous: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def domain_changes(domains: DataFrame) -> DataFrame:
-    """domain, before, after, delta of domains scored in the last two audits of a target and changed."""
+    """target, domain, before, after, delta, place of domains scored in the last two audits of a target and changed; place 1 fell most."""
     order = Window.partitionBy("target", "domain").orderBy("at")
     recent = domains.withColumn("before", F.lag("score").over(order)).withColumn("newest", F.max("at").over(Window.partitionBy("target")))
-    return recent.where((F.col("at") == F.col("newest")) & (F.col("before") != F.col("score"))).select("target", "domain", "before", F.col("score").alias("after"), (F.col("score") - F.col("before")).alias("delta"))
+    return recent.where((F.col("at") == F.col("newest")) & (F.col("before") != F.col("score"))).select("target", "domain", "before", F.col("score").alias("after"), (F.col("score") - F.col("before")).alias("delta")).withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy("delta", "domain")))
+
+
+def members(members: DataFrame) -> DataFrame:
+    """tenant, email, role, at, place of each tenant's members, in the order they came."""
+    return members.withColumn("place", F.row_number().over(Window.partitionBy("tenant").orderBy("at", "email")))
 
 
 def of_tenant(findings: DataFrame, audits: DataFrame, tenant: str) -> DataFrame:

@@ -23,7 +23,7 @@ FACTS = r"""
         regexp_split_to_array(html, '(?i)</head>')[1] AS head,
         regexp_split_to_array(html, '(?i)</header>')[1] AS header,
         strip_accents(lower(html)) AS folded,
-        regexp_replace(html, '(?i)<label\b[^>]*>[\s\S]*?</label>', '', 'g') AS unlabelled,
+        array_to_string(regexp_extract_all(html, '(?i)<label\b[^>]*>[\s\S]*?</label>'), chr(10)) AS labels,
         coalesce(list_max(list_transform(regexp_split_to_array(html, '(?i)<form\b')[2:], lambda f: len(regexp_extract_all(regexp_split_to_array(f, '(?i)</form>')[1], '(?i)<input\b|<select\b|<textarea\b')))), 0) AS most_fields,
         length(regexp_replace(regexp_replace(regexp_extract(html, '(?i)<h1\b[^>]*>([\s\S]*?)</h1>', 1), '<[^>]+>', '', 'g'), '^\s+|\s+$', '', 'g')) AS h1_chars
       FROM bare
@@ -53,7 +53,7 @@ perf | img-no-dims | low | 0.3 | confirmed | gain | len(list_filter(imgs, lambda
 perf | no-lazy | low | 0.2 | confirmed | gain | len(imgs) > 5 AND len(list_filter(imgs, lambda x: regexp_matches(x, '(?i)loading=["'']lazy["'']'))) = 0
 a11y | no-lang | medium | 0.1 | confirmed | risk | NOT regexp_matches(html, '(?i)<html[^>]*\blang\s*=')
 a11y | img-no-alt | high | 0.3 | confirmed | risk | len(list_filter(imgs, lambda x: NOT regexp_matches(x, '(?i)\balt\s*=\s*["''][^"'']*["'']'))) > 0
-a11y | input-no-label | high | 0.4 | confirmed | risk | len(list_filter(regexp_extract_all(unlabelled, '(?i)<input\b[^>]*>'), lambda x: NOT regexp_matches(x, '(?i)type=["''](hidden|submit|button|image)["'']') AND NOT regexp_matches(x, '(?i)\b(aria-label|aria-labelledby|title|id|placeholder)\s*=\s*["''][^"'']*["'']'))) > 0
+a11y | input-no-label | high | 0.4 | confirmed | risk | len(list_filter(regexp_extract_all(html, '(?i)<input\b[^>]*>'), lambda x: NOT contains(labels, x) AND NOT regexp_matches(x, '(?i)type=["''](hidden|submit|button|image)["'']') AND NOT regexp_matches(x, '(?i)\b(aria-label|aria-labelledby|title|id|placeholder)\s*=\s*["''][^"'']*["'']'))) > 0
 a11y | heading-order | medium | 0.2 | confirmed | risk | h1 = 0 AND regexp_matches(html, '(?i)<h2\b')
 a11y | empty-link | medium | 0.3 | confirmed | risk | len(list_filter(regexp_extract_all(html, '(?i)<a\b[^>]*>([\s\S]*?)</a>', 1), lambda x: NOT regexp_matches(regexp_replace(x, '<[^>]+>', '', 'g'), '\S'))) > 0
 a11y | button-no-aria | low | 0.3 | confirmed | risk | len(regexp_extract_all(html, '(?i)<button\b[^>]*>')) >= 3 AND len(list_filter(regexp_extract_all(html, '(?i)<button\b[^>]*>'), lambda x: regexp_matches(x, '(?i)\baria-label\s*=\s*["'']'))) = 0

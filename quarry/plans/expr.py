@@ -171,8 +171,8 @@ def octets(source: str) -> Term:
 SHARED = {("html", "img"), ("html", "meta"), ("html", "button")}
 
 
-def elements(source: str, name: str, yes: tuple[str, ...] = (), no: tuple[str, ...] = (), missing: tuple[str, ...] = ()) -> Term:
-    """How many opening tags match all of `yes` and none of `no`, and lack any attribute of `missing`."""
+def elements(source: str, name: str, yes: tuple[str, ...] = (), no: tuple[str, ...] = (), missing: tuple[str, ...] = (), outside: str = "") -> Term:
+    """How many opening tags match all of `yes` and none of `no`, lack any attribute of `missing`, and aren't in the text of the column `outside`."""
     tag = rf"(?i)<{name}\b[^>]*>"
     attribute = lambda a: rf"(?i)\b{a}\s*=\s*[\"'][^\"']*[\"']"
 
@@ -188,7 +188,7 @@ def elements(source: str, name: str, yes: tuple[str, ...] = (), no: tuple[str, .
                 for a in missing:
                     lacks = lacks | ~x.rlike(java(attribute(a)))
                 out = out & lacks
-            return out
+            return out & ~F.contains(F.col(outside), x) if outside else out
 
         tags = F.col(f"all_{name}") if (source, name) in SHARED else F.regexp_extract_all(source, F.lit(java(tag)), F.lit(0))
         return F.size(F.filter(tags, fits))

@@ -86,7 +86,7 @@ RULES = (
     Rule("perf", "no-lazy", "low", 0.2, (elements("html", "img") > 5) & elements("html", "img", yes=(r"(?i)loading=[\"']lazy[\"']",)).equals(0), gain=500),
     Rule("a11y", "no-lang", "medium", 0.1, ~has("html", r"(?i)<html[^>]*\blang\s*=")),
     Rule("a11y", "img-no-alt", "high", 0.3, elements("html", "img", missing=("alt",)) > 0),
-    Rule("a11y", "input-no-label", "high", 0.4, elements("unlabelled", "input", no=(r"(?i)type=[\"'](hidden|submit|button|image)[\"']", *(rf"(?i)\b{a}\s*=\s*[\"'][^\"']*[\"']" for a in ("aria-label", "aria-labelledby", "title", "id", "placeholder")))) > 0),
+    Rule("a11y", "input-no-label", "high", 0.4, elements("html", "input", outside="labels", no=(r"(?i)type=[\"'](hidden|submit|button|image)[\"']", *(rf"(?i)\b{a}\s*=\s*[\"'][^\"']*[\"']" for a in ("aria-label", "aria-labelledby", "title", "id", "placeholder")))) > 0),
     Rule("a11y", "heading-order", "medium", 0.2, number("h1").equals(0) & (times("html", r"(?i)<h2\b") > 0)),
     Rule("a11y", "empty-link", "medium", 0.3, inner("html", ("a",), "^$") > 0),
     Rule("a11y", "button-no-aria", "low", 0.3, (elements("html", "button") >= 3) & elements("html", "button", yes=(r"(?i)\baria-label\s*=\s*[\"']",)).equals(0)),
@@ -147,7 +147,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
         F.get(F.split("html", "(?i)</header>"), F.lit(0)).alias("header"),
         F.lower("html").alias("low_html"),
         *[opening("html", n).alias(f"all_{n}") for n in ONCE],
-        F.regexp_replace("html", r"(?i)<label(?![0-9A-Za-z_])[^>]*>[\s\S]*?</label>", "").alias("unlabelled"),
+        F.array_join(F.regexp_extract_all("html", F.lit(r"(?i)<label(?![0-9A-Za-z_])[^>]*>[\s\S]*?</label>"), F.lit(0)), "\n").alias("labels"),
         F.coalesce(F.array_max(fields), F.lit(0)).alias("most_fields"),
         F.length(F.regexp_replace(F.regexp_replace(F.regexp_extract("html", java(r"(?i)<h1\b[^>]*>([\s\S]*?)</h1>"), 1), "<[^>]+>", ""), r"^\s+|\s+$", "")).alias("h1_chars"),
     )

@@ -378,7 +378,7 @@ def findings_diff(spark, sf_dir):
     return audits.difference(f.where("early"), f.where("not early"))
 
 
-@query("WITH s AS (SELECT o_custkey % 100 AS target, o_orderpriority AS domain, CAST(o_orderdate AS DATE) AS made, CAST(max(floor(o_totalprice % 100)) AS INTEGER) AS score FROM orders GROUP BY ALL), l AS (SELECT *, lag(score) OVER (PARTITION BY target, domain ORDER BY made) AS before, max(made) OVER (PARTITION BY target) AS newest FROM s) SELECT target, domain, before, score AS after, score - before AS delta FROM l WHERE made = newest AND before <> score")
+@query("WITH s AS (SELECT o_custkey % 100 AS target, o_orderpriority AS domain, CAST(o_orderdate AS DATE) AS made, CAST(max(floor(o_totalprice % 100)) AS INTEGER) AS score FROM orders GROUP BY ALL), l AS (SELECT *, lag(score) OVER (PARTITION BY target, domain ORDER BY made) AS before, max(made) OVER (PARTITION BY target) AS newest FROM s) SELECT target, domain, before, score AS after, score - before AS delta, CAST(row_number() OVER (PARTITION BY target ORDER BY score - before, domain) AS INTEGER) AS place FROM l WHERE made = newest AND before <> score")
 def domain_deltas(spark, sf_dir):
     s = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 100).alias("target"), F.col("o_orderpriority").alias("domain"), F.to_date("o_orderdate").alias("at")).agg(F.max(F.floor(F.col("o_totalprice") % 100)).cast("int").alias("score"))
     return audits.domain_changes(s)

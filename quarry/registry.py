@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,34 @@ from quarry import model
 from quarry.operators import canonical
 from quarry.plans import line_rules, page_rules, response_rules, site_rules
 
+
+@dataclass(frozen=True)
+class Request:
+    """What somebody wants audited. Bad values raise; the number of pages is held within 1 and 30."""
+
+    target: str
+    repo: str | None = None
+    max_pages: int = 1
+    monthly_visits: float | None = None
+    conversion_value: float | None = None
+    conversion_rate: float = 0.02
+
+    def __post_init__(self):
+        if not self.target or not re.match(r"(?i)^(https?://)?[^\s/?#:]+(:\d+)?([/?#]|$)", self.target):
+            raise ValueError("target must be an address of http or https")
+        if self.repo is not None and not re.fullmatch(r"https://[\w.-]+/[\w./-]+", self.repo):
+            raise ValueError("repo must be a plain https address")
+        for name in ("monthly_visits", "conversion_value", "conversion_rate"):
+            value = getattr(self, name)
+            if value is not None and not value >= 0:
+                raise ValueError(f"{name} must not be negative")
+        object.__setattr__(self, "max_pages", max(1, min(30, int(self.max_pages))))
+
+    def business(self) -> dict:
+        """The options of findings.business."""
+        return {"visits": self.monthly_visits, "value": self.conversion_value, "rate": self.conversion_rate}
+
+
 #: agent: functions of the frames of an audit, each giving raw findings with a site.
 RUNNERS: dict[str, list[Callable[[Mapping[str, DataFrame]], DataFrame]]] = {}
 

@@ -39,11 +39,55 @@ def escaped(text):
     return out
 
 
-def report(domains: DataFrame, title: str) -> str:
-    """A page of the domains' scores; the domains are a fixed small dimension."""
-    rows = domains.orderBy(F.col("score").desc_nulls_last(), "agent_n").select(escaped(F.col("agent")).alias("agent"), "score", "n").collect()
-    body = "".join(f"<tr><td>{r['agent']}</td><td>{'not evaluated' if r['score'] is None else r['score']}</td><td>{r['n']}</td></tr>" for r in rows)
-    return f"<!doctype html><title>{title}</title><h1>{title}</h1><table>{body}</table>"
+# The tiers of a report, the severities of each, and the score from which a domain is a strength.
+TIERS = (("P0", "urgent", ("critical",)), ("P1", "within a week", ("high",)), ("P2", "within a month", ("medium",)), ("P3", "later", ("low", "info")))
+STRONG = 85
+
+
+def report(domains: DataFrame, title: str, score: int | None = None, findings: DataFrame | None = None, locked: bool = False):
+    """The parts of a page that tells of one site's audit, one after the other.
+
+    Head, domains (a fixed small dimension), strengths (fully evaluated
+    domains of a high score), then the findings by tier, worst first, read row
+    by row, so that the page is never whole in memory.  With `locked`, fixes
+    are left out.  domains: agent, score, n, agent_n, and evaluated and partial
+    where they are known; findings: severity, rule, agent, priority, and proof
+    and fix where they are known.
+    """
+    word = "" if score is None else next(w for least, w in ((85, "solid"), (70, "good base"), (50, "to consolidate"), (0, "priority work")) if score >= least)
+    rows = domains.orderBy(F.col("score").desc_nulls_last(), "agent_n").select(escaped(F.col("agent")).alias("agent"), "score", "n", (F.col("partial") if "partial" in domains.columns else F.lit(False)).alias("partial")).collect()
+    yield f"<!doctype html><title>{title}</title><h1>{title}</h1>" + (f"<p>{score}/100: {word}</p>" if word else "")
+    yield "<table>" + "".join(f"<tr><td>{r['agent']}</td><td>{'not evaluated' if r['score'] is None else r['score']}{' (partial)' if r['partial'] else ''}</td><td>{r['n']}</td></tr>" for r in rows) + "</table>"
+    strong = [r["agent"] for r in rows if r["score"] is not None and r["score"] >= STRONG and not r["partial"]]
+    yield "<h2>Strengths</h2><p>" + ", ".join(strong) + "</p>" if strong else ""
+    if findings is None:
+        return
+    shown = lambda c: escaped(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in findings.columns else F.lit("")).alias(c)
+    for name, label, severities in TIERS:
+        some = findings.where(F.col("severity").isin(*severities)).orderBy(F.col("priority").desc(), "rule", "agent").select("severity", shown("rule"), shown("agent"), shown("proof"), shown("fix"))
+        for i, r in enumerate(some.toLocalIterator()):
+            fix = "reserved for the full audit" if locked else r["fix"]
+            yield (f"<h2>{name}: {label}</h2>" if not i else "") + f"<p>[{r['severity']}] {r['rule']} ({r['agent']})<br>{r['proof']}<br>{fix}</p>"
+
+
+def message(findings: DataFrame, summary: dict, site: str, k: int = 5) -> dict:
+    """A chat message as blocks: head, figures, counts by severity, the k worst findings; summary: a row of canonical.synthesis."""
+    score = summary.get("weighted_score") or 0
+    counts = "  ".join(f"{summary[s]} {s}" for s in ("critical", "high", "medium", "low", "info") if summary.get(s)) or "0 findings"
+    money = lambda n: f"{n or 0:,}".replace(",", " ")
+    risk = f"{money(summary.get('risk_low'))} - {money(summary.get('risk_high'))} EUR" if summary.get("risk_low") or summary.get("risk_high") else "n/a"
+    rows = top(findings, k).select("severity", "rule", "agent").collect()
+    blocks = [{"type": "header", "text": f"[{'OK' if score >= 80 else 'WARN' if score >= 50 else 'BAD'}] {site}"}, {"type": "section", "fields": [f"Score {score}/100", f"Findings {summary.get('total_findings') or 0}", f"Effort {summary.get('effort_days', '?')} days", f"Risk {risk}"]}, {"type": "context", "text": counts}]
+    if rows:
+        blocks += [{"type": "divider"}, {"type": "section", "text": "\n".join(f"{r['severity']}: {r['rule']} ({r['agent']})" for r in rows)}]
+    return {"text": f"{site}: {score}/100, {summary.get('total_findings') or 0} findings", "blocks": blocks}
+
+
+def printed(findings: DataFrame, k: int = 12) -> list[str]:
+    """Lines for a terminal: the counts by severity, then the k worst findings."""
+    counts = {r["severity"]: r["n"] for r in findings.groupBy("severity").agg(F.count("*").alias("n")).collect()}
+    head = "   ".join(f"{counts.get(s, 0)} {s}" for s in ("critical", "high", "medium", "low", "info"))
+    return [head, *[f"[{r['severity']}] {r['rule']} ({r['agent']})" for r in top(findings, k).collect()]]
 
 
 def without_fixes(findings: DataFrame) -> DataFrame:

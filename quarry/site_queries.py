@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry import model, oracles, registry
+from quarry.functions import html
 from quarry.functions import text as txt
 from quarry.operators import audits, canonical, findings, links
 from quarry.plans import line_rules, page_rules, response_rules, site_rules
@@ -300,6 +301,36 @@ def names_and_words(spark, sf_dir):
     )
 
 
+_HOST, _HOST_CTE = values("hosts", "raw, own, host", "('a.io', 'https://a.io', 'a.io'), ('HTTP', 'https://http', 'http'), ('http://B.io:80/x?y', 'http://b.io:80', 'b.io:80'), ('https://u:p@c.io/', 'https://c.io', 'c.io'), ('', '', ''), (CAST(NULL AS VARCHAR(9)), CAST(NULL AS VARCHAR(9)), CAST(NULL AS VARCHAR(9))), ('https://', 'https://', '')")
+
+
+@query(f"WITH {_HOST_CTE} SELECT raw, own, host FROM hosts")
+def hosts(spark, sf_dir):
+    return spark.sql(_HOST).select("raw", txt.origin_of(F.col("raw")).alias("own"), txt.host_of(F.col("raw")).alias("host"))
+
+
+@query(
+    f"""WITH {_PAGES_CTE} SELECT page_id, nullif(trim(regexp_extract(html, '(?i)<title\\b[^>]*>([\\s\\S]*?)</title>', 1)), '') AS title, array_to_string(regexp_extract_all(html, '(?i)<h1\\b[^>]*>([\\s\\S]*?)</h1>', 1), '|') AS headings,
+    CASE WHEN regexp_matches(html, '(?i)<meta\\b[^>]*name="viewport"') THEN regexp_extract(regexp_extract(html, '(?i)<meta\\b[^>]*name="viewport"[^>]*>'), '(?i)\\bcontent\\s*=\\s*"([^"]*)"', 1) END AS viewport FROM pages"""
+)
+def html_parts(spark, sf_dir):
+    return spark.sql(_PAGES).select("page_id", html.tag(F.col("html"), "title").alias("title"), F.array_join(html.tags(F.col("html"), "h1"), "|").alias("headings"), html.meta(F.col("html"), "name=[\"']viewport").alias("viewport"))
+
+
+_MIXES, _MIXES_CTE = values("mixes", "front, back, alpha", "(0, 255, 0.5), (255, 255, 0.3), (10, 200, 1.0), (10, 200, 0.0), (3, 4, 0.5)")
+
+
+@query(f"WITH {_MIXES_CTE} SELECT front, back, CAST(alpha AS DOUBLE) AS alpha, CAST(floor(front * CAST(alpha AS DOUBLE) + back * (1 - CAST(alpha AS DOUBLE)) + 0.5) AS BIGINT) AS mixed FROM mixes")
+def blended_colours(spark, sf_dir):
+    alpha = F.col("alpha").cast("double")
+    return spark.sql(_MIXES).select("front", "back", alpha.alias("alpha"), txt.flatten(F.col("front"), F.col("back"), alpha).alias("mixed"))
+
+
+@query("SELECT c_mktsegment AS tenant, c_name AS email, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey, c_name) AS INTEGER) AS place FROM customer")
+def member_list(spark, sf_dir):
+    return audits.members(table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("tenant"), F.col("c_name").alias("email"), F.col("c_custkey").alias("at"))).select("tenant", "email", "place")
+
+
 _SCORE, _SCORE_CTE = values("scores", "score", "(100), (85), (84), (80), (79), (70), (69), (50), (49), (0)")
 
 

@@ -300,8 +300,25 @@ def test_messages_and_exit_code(spark):
     assert text[0] == "[WARN] a.io 74/100" and [t.split(": ")[0] for t in text[1:]] == ["- critical", "- high", "- low"]
     assert sorted(r["value"] for r in writers.lines_of_json(f.select("seq", "rule")).collect())[0] == '{"seq":1,"rule":"low-one"}'
     assert writers.without_fixes(f.withColumn("fix", f["rule"])).columns == f.columns
-    page = writers.report(spark.createDataFrame([("a<b", 1, 90, 2), ("c", 2, None, 0)], "agent string, agent_n int, score long, n long"), "T")
-    assert page.index("a&lt;b") < page.index("not evaluated")
+    told = f.selectExpr("*", "seq AS priority", "concat('<', rule) AS proof", "'mend' AS fix")
+    domains = spark.createDataFrame([("a<b", 1, 90, 2, False), ("c", 2, None, 0, False), ("d", 3, 88, 1, True)], "agent string, agent_n int, score long, n long, partial boolean")
+    page = "".join(writers.report(domains, "T", 74, told))
+    assert page.index("74/100: good base") < page.index("a&lt;b") < page.index("not evaluated") < page.index("<h2>Strengths</h2><p>a&lt;b</p>") < page.index("P0: urgent") < page.index("P1: ") < page.index("&lt;low-one<br>mend")
+    assert "mend" not in "".join(writers.report(domains, "T", 74, told, locked=True)) and "P0" not in "".join(writers.report(domains, "T"))
+    body = writers.message(f, {"weighted_score": 74, "total_findings": 3, "critical": 1, "low": 1, "effort_days": 0.8, "risk_low": 1400, "risk_high": 7000}, "a.io", 2)
+    assert body["text"] == "a.io: 74/100, 3 findings" and body["blocks"][1]["fields"][3] == "Risk 1 400 - 7 000 EUR" and body["blocks"][2]["text"] == "1 critical  1 low" and body["blocks"][-1]["text"].split("\n")[0] == "critical: bad-one (ux)"
+    assert writers.message(f.where("false"), {}, "a.io")["blocks"][2]["text"] == "0 findings"
+    assert writers.printed(f, 1) == ["1 critical   1 high   0 medium   1 low   0 info", "[critical] bad-one (ux)"]
+
+
+def test_requests_are_checked():
+    from quarry.registry import Request
+
+    assert (Request("a.io", max_pages=99).max_pages, Request("https://a.io/x", max_pages=0).max_pages, Request("A.io:8080?x").max_pages) == (30, 1, 1)
+    assert Request("a.io", monthly_visits=10, conversion_value=2).business() == {"visits": 10, "value": 2, "rate": 0.02}
+    for bad in ({"target": ""}, {"target": "ftp://a.io"}, {"target": "a.io", "repo": "git@x"}, {"target": "a.io", "conversion_rate": -1}):
+        with pytest.raises(ValueError):
+            Request(**bad)
 
 
 def test_new_faults_are_told_once(spark, tmp_path):
