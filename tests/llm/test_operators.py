@@ -242,6 +242,47 @@ def test_bloom_counts_are_exact_without_collisions():
     assert sorted(owner.tolist()) == want
 
 
+def test_filter_matches_brute_force(spark):
+    texts = {"en": ["the quick brown fox", "the lazy dog sat"], "de": ["der schnelle fuchs", "die katze sitzt", "der hund"], "fr": ["le renard brun saute"]}
+    rows = [(3 * i + j, t, lang) for j, (lang, some) in enumerate(texts.items()) for i, t in enumerate(some)]
+    taught = [(t, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), least=1, share=0.0, size=64, hashes=2)
+    sizes = {lang: sum(x == lang for _, x in taught) for lang in texts}
+    assert model.languages == sorted((x for x in sizes if sizes[x]), key=lambda x: (-sizes[x], x))
+    slices = []
+    for lang in model.languages:
+        h = langid.grams([t for t, x in taught if x == lang])[0]
+        slices.append({int(s) for some in langid.slots(h, 64, 2) for s in some})
+    for i, own in enumerate(slices):
+        assert {s for s in range(64) if model.masks[0][s] >> i & 1} == own and abs(model.false[i] - (len(own) / 64) ** 2) < 1e-12
+    for text in ("the fox sat", "der renard", "zzz", ""):
+        h = langid.grams([text])[0]
+        n, hits = model.counts([text])
+        places = list(zip(*[s.tolist() for s in langid.slots(h, 64, 2)]))
+        assert n[0] == len(h) and hits[0].tolist() == [sum(all(p in own for p in ps) for ps in places) for own in slices]
+        share = [min(1, max(0, (k / max(n[0], 1) - f) / max(1 - f, 1e-9))) for k, f in zip(hits[0], model.false)]
+        lang, score, cover = model.decide([text])
+        order = sorted(range(len(share)), key=lambda i: (-share[i], i))
+        if text:
+            assert lang == [model.languages[order[0]]] and abs(cover[0] - share[order[0]]) < 1e-9 and abs(score[0] - share[order[0]] / max(share[order[0]] + share[order[1]], 1e-9)) < 1e-9
+        else:
+            assert lang == ["und"] and score[0] == 0
+
+
+def test_small_slices_change_nothing(spark, docs, monkeypatch):
+    path, piece = tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+
+    def all_of():
+        rows = lambda df, *cut: sorted(repr(tuple(r)) for r in df.drop(*cut).collect())
+        return [rows(packing.pack(docs, path), "sequence_id", "offset"), rows(pieces.digest(docs, piece)), rows(simhash.near_duplicates(docs)), rows(toxicity.predict(docs, toxicity.fit(docs, labels))), rows(langid.predict(docs, langid.fit(docs.withColumn("lang", docs["start"]))))]
+
+    whole = all_of()
+    for module, name, value in ((packing, "SLICE", 60), (pieces, "SLICE", 60), (pieces, "AT_ONCE", 3), (simhash, "SLICE", 60), (simhash, "BLOCK", 7), (toxicity, "SLICE", 60), (langid, "SLICE", 60)):
+        monkeypatch.setattr(module, name, value)
+    assert all_of() == whole
+
+
 def test_toxicity(spark, empty):
     import random
 
