@@ -16,7 +16,7 @@ import numpy as np
 
 from quarry.llm._util import in_process as in_process
 
-MEMO_BYTES = 128_000_000
+MEMO_BYTES = 160_000_000
 MEMO_LENGTH = 48
 #: What a key and its bytes take besides their characters: two objects' heads and a place in the table.
 ENTRY = 180
@@ -110,7 +110,7 @@ def byte_level(path: str, special: bool = True) -> RunEncoder:
     pattern = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(kept)))}
-    space, plain = shown[32], re.compile(r"[ -~]+")
+    space, plain, word = shown[32], re.compile(r"[ -~]+"), re.compile(" ?[A-Za-z]+").fullmatch
     odd, cut = re.compile(r"[^\S \n]|\0"), re.compile(r"(?<=\S)(?= \S)")
     tokenizer.model._resize_cache(0)  # the memo holds what repeats
     tokenize, pieces = tokenizer.model.tokenize, pattern.findall
@@ -134,6 +134,8 @@ def byte_level(path: str, special: bool = True) -> RunEncoder:
     def encode(run: str) -> bytes:
         if run in marks:
             return marks[run]
+        if word(run):  # a pre-token by itself
+            return one(run)
         found = pieces(run)
         return one(run) if len(found) == 1 else b"".join(map(made.memo.__getitem__, found))  # a pre-token is a run too
 
