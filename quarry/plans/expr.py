@@ -54,6 +54,8 @@ def _group_end(pattern: str) -> int:
 
 def begins_word(rest: str) -> bool:
     """Whether all that a pattern matches surely begins with a word character."""
+    if rest.startswith("(?") and not rest.startswith("(?:"):  # flags or a look-around
+        return False
     if rest.startswith("("):
         body = rest[1 : _group_end(rest) - 1]
         return not rest[_group_end(rest) : _group_end(rest) + 1] in ("*", "?") and all(begins_word(a) for a in choices(body.removeprefix("?:")))
@@ -72,7 +74,7 @@ def ends_word(head: str) -> bool:
     if head.endswith(")") and not head.endswith("\\)"):
         for i in range(len(head) - 1, -1, -1):
             if head[i] == "(" and head[i - 1 : i] != "\\" and i + _group_end(head[i:]) == len(head):
-                return all(ends_word(a) for a in choices(head[i + 1 : -1].removeprefix("?:")))
+                return not re.match(r"\(\?[^:]", head[i:]) and all(ends_word(a) for a in choices(head[i + 1 : -1].removeprefix("?:")))
     return False
 
 

@@ -32,8 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def described(pages: DataFrame) -> DataFrame:
-    """The pages with a description each: their title's words but the last, in capitals."""
-    head = F.concat(F.lit('<meta name="description" content="'), F.upper(F.regexp_extract("html", "<title>([^<]*) [^ <]*</title>", 1)), F.lit('">'))
+    """The pages with a description each: their title's words but the last, its vowels in capitals."""
+    head = F.concat(F.lit('<meta name="description" content="'), F.translate(F.regexp_extract("html", "<title>([^<]*) [^ <]*</title>", 1), "aeiou", "AEIOU"), F.lit('">'))
     return pages.select("page_id", "url", F.concat(head, "html").alias("html"))
 
 
@@ -125,7 +125,7 @@ def duplicate_titles(spark, sf_dir):
     return links.duplicates(page_rules.page_facts(table(spark, sf_dir, "pages")), "title")
 
 
-@query(_repeated("descr").replace("FROM pages)", "FROM (SELECT page_id, url, concat('<meta name=\"description\" content=\"', upper(regexp_extract(html, '<title>([^<]*) [^ <]*</title>', 1)), '\">', html) AS html FROM pages))"))
+@query(_repeated("descr").replace("FROM pages)", "FROM (SELECT page_id, url, concat('<meta name=\"description\" content=\"', translate(regexp_extract(html, '<title>([^<]*) [^ <]*</title>', 1), 'aeiou', 'AEIOU'), '\">', html) AS html FROM pages))"))
 def duplicate_descriptions(spark, sf_dir):
     """The pages as if each told its title, without its last word, as its description."""
     return links.duplicates(page_rules.page_facts(described(table(spark, sf_dir, "pages"))), "descr")

@@ -61,6 +61,7 @@ def test_word_boundaries_have_one_side_where_that_is_enough():
 
     assert java(r"\bsk_[a-z]{3}\b") == AFTER + "sk_[a-z]{3}" + BEFORE
     assert java(r"\b(?:a|b)c\b|<p\b[^>]*\bx") == f"{AFTER}(?:a|b)c{BEFORE}|<p{BEFORE}[^>]*{AFTER}x"
+    assert java(r"(?i)\b(?:a|<b>)\b") == f"(?i){EDGE}(?:a|<b>){EDGE}"
     assert java(r"[^}]*\b") == "[^}]*" + EDGE and java(r"[a-]{3}\b") == "[a-]{3}" + EDGE
     for pattern in (r"\b(le|la)\b", r"1(?:\.0)?\b", r"\b[a-z][a-z0-9]*\.(?:title|cta)\b", r"x\b|\by"):
         for text in ("le", "xle", "la.", "1.0", "1.05", "11", "a.title", "a.titles", "é.cta", "x y", "xy", ""):
