@@ -11,8 +11,8 @@ turn out too large for a task are split further, by trees built on samples of
 their own.  A shard goes on the same way down to small leaves and compares
 fingerprints there.
 
-A shard returns its groups as stars of bounded size, never as pairs; the stars
-of all shards are merged by alternating large and small stars, in a number of
+A shard returns its groups as stars, never as pairs; the stars of all shards
+are merged by alternating large and small stars, in a number of
 rounds that grows with the logarithm of a group.
 """
 
@@ -39,7 +39,6 @@ LARGEST_SHARD = 1_000_000
 SAMPLE_ALL = 4_000_000
 LEAF = 768
 LEAST_SAMPLE = 64
-STAR = 1_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -254,9 +253,9 @@ def groups(points: np.ndarray, radius: int) -> np.ndarray:
 
 
 def stars(nodes: DataFrame, radius: int) -> DataFrame:
-    """star, fp, label of the groups found in each shard; nodes: distinct fp and its label.
+    """fp, centre, label of the groups found in each shard; nodes: distinct fp and its label.
 
-    A star has at most STAR fingerprints; those of a group share one fingerprint.
+    The fingerprints of a group, but the smallest, are each linked to the smallest.
     """
     tree = upper_tree(nodes, radius)
 
@@ -273,37 +272,37 @@ def stars(nodes: DataFrame, radius: int) -> DataFrame:
         own = groups(fp.view(np.uint64), radius)
         kept = np.flatnonzero(np.bincount(own, minlength=len(own))[own] > 1)
         kept = kept[np.argsort(own[kept], kind="stable")]
-        star, out_fp, out_label, number = [], [], [], 0
+        out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for rows in np.split(kept, np.flatnonzero(np.diff(own[kept])) + 1) if len(kept) else []:
-            for k in range(1, len(rows), STAR - 1):
-                some = np.concatenate([rows[:1], rows[k : k + STAR - 1]])
-                star.append(np.full(len(some), (key[0].as_py() << 32) + number, np.int64))
-                out_fp.append(fp[some])
-                out_label.append(label[some])
-                number += 1
-        join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
-        return pa.table({"star": join(star), "fp": join(out_fp), "label": join(out_label)})
+            for col, x in zip(out, (fp[rows], np.full(len(rows), fp[rows].min()), label[rows])):
+                col.append(x)
+        return pa.table([np.concatenate(c) for c in out], names=["fp", "centre", "label"])
 
-    return nodes.select("fp", "label").mapInArrow(tidy(deal), "shard int, fp long, label long").groupBy("shard").applyInArrow(link, "star long, fp long, label long")
+    return nodes.select("fp", "label").mapInArrow(tidy(deal), "shard int, fp long, label long").groupBy("shard").applyInArrow(link, "fp long, centre long, label long")
 
 
 def components(nodes: DataFrame, radius: int) -> DataFrame:
     """fp, label: the smallest label that links reach, for fingerprints that have links; nodes: distinct fp and its label."""
-    return spread(checkpoint(stars(nodes, radius)))
+    found = checkpoint(stars(nodes, radius))
+    return merged(found.select(F.col("fp").alias("u"), F.col("centre").alias("v")), found.select("fp", "label"))
 
 
 def spread(member: DataFrame) -> DataFrame:
-    """fp, label: the smallest label that stars reach; member: star, fp and its label, written already.
+    """fp, label: the smallest label that stars reach; member: star, fp and its label, written already."""
+    centre = member.groupBy("star").agg(F.min("fp").alias("v"))
+    return merged(member.join(centre, "star").select(F.col("fp").alias("u"), "v"), member.select("fp", "label"))
+
 
-    Each star becomes links to its smallest fingerprint.  Then, in turn, every
-    node hands its larger neighbours to the smallest one, and its smaller ones
-    with itself: groups become stars around their smallest fingerprint.  A node
-    of many links is one row of a minimum, joined to rows that Spark can split.
+def merged(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """fp, label: the smallest label that links (u, v) reach; labels: fp and its label, for every node.
+
+    In turn, every node hands its larger neighbours to the smallest one, and
+    its smaller ones with itself: groups become stars around their smallest
+    node.  A node of many links is one row of a minimum, joined to rows that
+    Spark can split.
     """
-    centre = member.groupBy("star").agg(F.min("fp").alias("v"))
-    links = checkpoint(member.join(centre, "star").select(F.col("fp").alias("u"), "v").where("u <> v").distinct())
-    before = None
-    while True:
+    links = checkpoint(found.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while not settled(links):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -311,17 +310,19 @@ def spread(member: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         links = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         links = checkpoint(links)
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if now == before:
-            break
-        before = now
     # A fingerprint's label is the same in all its stars.
-    labels = member.groupBy("fp").agg(F.min("label").alias("own"))
-    rooted = labels.join(links.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "own", F.coalesce("root", "fp").alias("root"))
+    owned = labels.groupBy("fp").agg(F.min("label").alias("own"))
+    rooted = owned.join(links.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "own", F.coalesce("root", "fp").alias("root"))
     low = rooted.groupBy("root").agg(F.min("own").alias("label"))
     return checkpoint(rooted.join(low, "root").select("fp", "label"))
 
 
+def settled(links: DataFrame) -> bool:
+    """Whether links, u above v in each, are stars: every u has one link and is no v."""
+    ends = links.groupBy("u").agg(F.count("*").alias("n"))
+    return ends.where("n > 1").isEmpty() and links.select(F.col("v").alias("u")).distinct().join(ends, "u", "left_semi").isEmpty()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id for each row.
 
