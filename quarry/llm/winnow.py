@@ -123,7 +123,9 @@ def beside_next(docs: DataFrame, buckets: int) -> DataFrame:
     edges = edges_of(docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("id")), buckets)
     placed = keyed.select("*", bucket_of(edges, F.struct("id", "h")).alias("bucket"))
     firsts = sorted((r["bucket"], r["x"]["id"], r["x"]["h"]) for r in placed.groupBy("bucket").agg(F.min(F.struct("id", "h")).alias("x")).collect())
-    after = docs.sparkSession.createDataFrame([(firsts[k - 1][0], i, h) for k, (_, i, h) in enumerate(firsts)], "to int, id long, first long")
+    told = [F.struct(F.lit(firsts[k - 1][0]).cast("int").alias("to"), F.lit(i).cast("long").alias("id"), F.lit(h).cast("long").alias("first")) for k, (_, i, h) in enumerate(firsts)]
+    listed = F.array(*told) if told else F.array().cast("array<struct<to:int,id:bigint,first:bigint>>")
+    after = docs.sparkSession.range(1).select(F.explode(listed).alias("x")).select("x.*")
     ghosts = keyed.join(F.broadcast(after), "id").where(F.col("h") == F.col("first")).groupBy("to", "id", "h").agg(F.min(F.struct("text", "doc_id")).alias("x"))
     own = placed.select(F.col("bucket").cast("int").alias("bucket"), F.lit(False).alias("ghost"), "doc_id", "text", "h")
     return own.unionByName(ghosts.select(F.col("to").alias("bucket"), F.lit(True).alias("ghost"), F.col("x.doc_id").alias("doc_id"), F.col("x.text").alias("text"), "h"))
