@@ -20,7 +20,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted to be toxic; null and repeated ids stay, each row by its text; an empty table gives no rows."""
-    return toxicity.select(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return toxicity.select(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), steep=toxicity.STEEP))
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

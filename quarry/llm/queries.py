@@ -41,7 +41,7 @@ def op6_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), steep=toxicity.STEEP))
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 Two interpolated word-bigram models, one of toxic and one of ordinary texts,
 share their lower orders: a class bigram backs off to the class unigram, and
-that to continuation counts over both classes.  An expression too rare to tell
-the classes apart (a log-likelihood ratio under `least`) has its shared
-probability in both models.  A text's two log-likelihoods per token are
-compared, and a logistic curve fitted on the sample turns their difference
+that to continuation counts over both classes.  Every word and pair of words of
+the sample is in both; each is followed as far as its evidence, the
+log-likelihood ratio of its document counts, tells the classes apart, and the
+shared probability stands for the rest.  A text's two log-likelihoods per token
+are compared, and a logistic curve fitted on the sample turns their difference
 into a score.
 """
 
@@ -35,54 +36,105 @@ def words(text: str) -> list[str]:
     return found
 
 
-def evidence(toxic, ordinary, n_toxic: int, n_ordinary: int):
-    """Column: G, the log-likelihood ratio of two document counts against one common rate."""
-    both, share = toxic + ordinary, n_toxic / (n_toxic + n_ordinary)
-    part = lambda n, p: F.when(n > 0, n * F.log(n / (both * F.lit(p)))).otherwise(0.0)
-    return 2 * (part(toxic, share) + part(ordinary, 1 - share))
+#: How sharply the query's weights rise about `least`.
+STEEP = 4.0
 
 
-class Common(dict):
-    """Logarithms of shared probabilities; `rare` is that of all other words."""
+def evidence(toxic: np.ndarray, ordinary: np.ndarray, n_toxic: int, n_ordinary: int) -> np.ndarray:
+    """G, the log-likelihood ratio of two document counts against one common rate."""
+    both, share = np.maximum(toxic + ordinary, 1), n_toxic / (n_toxic + n_ordinary)
+    part = lambda n, p: np.where(n > 0, n * np.log(np.maximum(n, 1) / (both * p)), 0.0)
+    return np.maximum(2 * (part(toxic, share) + part(ordinary, 1 - share)), 0.0)
 
-    def __init__(self, known: dict[str, float], rare: float):
-        super().__init__(known)
-        self.rare = rare
 
-    def __missing__(self, word):
-        return self.rare
+def weights(g: np.ndarray, least: float, steep: float) -> np.ndarray:
+    """How far the class models are followed at evidence g: half at `least`; all or nothing if `steep` is infinite."""
+    if math.isinf(steep):
+        return (g >= least).astype(float)
+    return g**steep / np.maximum(g**steep + least**steep, 1e-300)
 
-    def __reduce__(self):
-        return Common, (dict(self), self.rare)
 
+def hashes(found: list[str]) -> np.ndarray:
+    """Spark's xxhash64 of each string."""
+    import xxhash
 
-class Model:
-    """Natural logarithms of the probabilities of expressions: (toxic, ordinary) of those that tell the classes apart, one of others.
+    known = {w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in set(found)}
+    return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+
+
+PRIMES = [np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def hashed(x: np.ndarray, seed) -> np.ndarray:
+    """Spark's xxhash64 of longs with a seed."""
+    p1, p2, p3, p4, p5 = PRIMES
+    h = (seed + p5 + np.uint64(8)) ^ (turned(x * p2, 31) * p1)
+    h = turned(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
+def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return hashed(w, hashed(u, np.uint64(42)))
 
-    `shared` has the words that stand after two others at least; `rare` is for all other words.
-    """
 
-    def __init__(self, unigrams: dict[str, tuple], bigrams: dict[str, dict[str, tuple]], shared: dict[str, float], rare: float):
-        self.unigrams, self.bigrams, self.shared = unigrams, bigrams, Common(shared, rare)
+class Places:
+    """The place in a table of each known key: sorted hashes, and equal numbers kept once."""
+
+    def __init__(self, keys: np.ndarray, places: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.places = keys[order], places[order].astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for unknown ones."""
+        if not len(self):
+            return np.full(len(keys), -1, np.int32)
+        asked, back = np.unique(keys, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self) - 1)
+        return np.where(self.keys[at] == asked, self.places[at], -1)[back]
+
+
+class Model:
+    """Two models, columns toxic and ordinary, over hashed words and pairs of words; unknown words take the last row of the words' tables."""
+
+    def __init__(self, unigrams: Places, bigrams: Places, level: np.ndarray, single: np.ndarray, context: np.ndarray, back: np.ndarray, own: np.ndarray, weight: np.ndarray):
+        self.unigrams, self.bigrams = unigrams, bigrams
+        self.level, self.single = level, single  # a word's logarithm as it is followed, its class probability
+        self.context, self.back = context, back  # tokens after a word, and the share of them that the discount frees
+        self.own, self.weight = own, weight  # a pair's discounted counts, how far they are followed
         self.curve = np.array([-3.0, 0.0])
 
     def likelihoods(self, text: str) -> tuple[float, float, int]:
         """(toxic, ordinary, tokens): the two models' log-likelihoods per token, 0 without tokens."""
-        found = words(text)
-        if not found:
-            return 0.0, 0.0, 0
-        shared = self.shared.__getitem__
-        told = {i: t for i, t in enumerate(map(self.unigrams.get, found)) if t is not None} if not self.unigrams.keys().isdisjoint(found) else {}
-        if not self.bigrams.keys().isdisjoint(found):
-            for i, follow in enumerate(map(self.bigrams.get, found[:-1]), 1):
-                if follow is not None and found[i] in follow:
-                    told[i] = follow[found[i]]
-        both = sum(map(shared, found)) - sum(shared(found[i]) for i in told)
-        return (both + sum(t[0] for t in told.values())) / len(found), (both + sum(t[1] for t in told.values())) / len(found), len(found)
+        return (*self.compare([text])[0].tolist(), len(words(text)))
 
     def compare(self, texts: list[str]) -> np.ndarray:
         """Columns: toxic and ordinary log-likelihood per token."""
-        return np.array([self.likelihoods(t)[:2] for t in texts], float).reshape(-1, 2)
+        found = [words(t) for t in texts]
+        sizes = np.array([len(f) for f in found], np.int64)
+        h = hashes([w for f in found for w in f])
+        if not len(h) or not len(self.unigrams):
+            return np.zeros((len(texts), 2))
+        at = self.unigrams.find(h)
+        told = self.level[at]
+        pair = self.bigrams.find(pair_keys(h[:-1], h[1:]))
+        ends = np.cumsum(sizes)
+        pair[ends[(ends > 0) & (ends < len(h))] - 1] = -1  # of two texts
+        first = np.flatnonzero(pair >= 0)
+        pair, u, w = pair[first], at[first], at[first + 1]
+        after = self.context[u]
+        p = np.where(after > 0, self.own[pair] / np.maximum(after, 1) + self.back[u] * self.single[w], self.single[w])
+        told[first + 1] += self.weight[pair][:, None] * (np.log(p) - told[first + 1])
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        return np.stack([np.bincount(owner, told[:, y], len(texts)) for y in (0, 1)], axis=1) / np.maximum(sizes, 1)[:, None]
 
     def features(self, found: np.ndarray) -> np.ndarray:
         """The constant and the difference of the likelihoods per token, on a scale that is fine near 0."""
@@ -94,11 +146,23 @@ class Model:
 
 def constant(odds: float) -> Model:
     """The model that gives every text the same score."""
-    model = Model({}, {}, {}, 0.0)
+    none, flat = Places(np.zeros(0, np.uint64), np.zeros(0, np.int32)), np.zeros((1, 2))
+    model = Model(none, none, flat, flat, flat, flat, flat, flat[:, 0])
     model.curve = np.array([odds, 0.0])
     return model
 
 
+def places(rows: DataFrame, stats: list[str]) -> tuple[Places, np.ndarray]:
+    """The places of the keys, and the table: `stats` of rows, each combination once."""
+    code = F.xxhash64(*stats).alias("code")
+    table = rows.groupBy(*stats).agg(F.count("*").alias("n")).select(code, *stats).toArrow()
+    codes = table.column("code").to_numpy()
+    order = np.argsort(codes)
+    got = rows.select("key", code).toArrow()
+    at = np.searchsorted(codes[order], got.column("code").to_numpy()).astype(np.int32)
+    return Places(got.column("key").to_numpy().view(np.uint64), at), np.stack([table.column(c).to_numpy()[order] for c in stats], axis=1).astype(float)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """A logistic curve over the columns of x, of which the first is constant, by damped Newton steps.
 
@@ -130,13 +194,15 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, least: float = 24.0, discount: float = 0.75, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, least: float = 24.0, discount: float = 0.75, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", steep: float = math.inf) -> Model:
     """The model of the labelled rows whose crc32(id) mod 4 is not 2.
 
     `sample` bounds the expected number of rows read of each class; they are
     taken by a hash of their id, and the curve weighs each by the rows it
-    stands for, so scores don't move with the size of the input.  Equal texts
-    count once.  A label that differs between rows of one id counts as toxic;
+    stands for, so scores don't move with the size of the input.  An expression
+    of evidence G is followed with the weight 1 / (1 + (least / G) ** steep);
+    with an infinite `steep` only those of `least` or more tell anything.
+    Equal texts count once.  A label that differs between rows of one id counts as toxic;
     labels other than 0 and 1 and rows without an id or a label teach nothing.
     Empty tables, or labels of one class only, give a model that scores all
     texts alike: near 1 if only toxic labels are known, else near 0.
@@ -186,30 +252,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, least: float =
     whole = by_word.agg(F.sum("left").alias("left"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.count_if(F.col("c0") > 0).alias("t0"), F.count_if(F.col("c1") > 0).alias("t1"), F.count("*").alias("types")).first()
     if not whole["c0"] or not whole["c1"]:
         return constant(math.log(n1 * stands[1] / (n0 * stands[0])) if n0 and n1 else 20.0 if n1 else -20.0)
-    shared = (F.col("left") + 0.5) / (whole["left"] + 0.5 * whole["types"])
-
-    def unigram(y):
-        n, t = whole[f"c{y}"], whole[f"t{y}"]
-        return F.greatest(F.col(f"c{y}") - discount, F.lit(0.0)) / n + discount * t / n * shared
-
-    telling = evidence(F.col("d1"), F.col("d0"), n1, n0) >= least
-    # The words of the sample, whose size `sample` bounds, but for those that stand after one word only.
-    known = by_word.join(spread.select("w", telling.alias("telling")), "w").where(F.col("telling") | (F.col("left") >= 2))
-    ones = known.select("w", "telling", F.log(unigram(1)).alias("p1"), F.log(unigram(0)).alias("p0"), F.log(shared).alias("p")).collect()
-    unigrams = {r["w"]: (r["p1"], r["p0"]) for r in ones if r["telling"]}
-    others = {r["w"]: r["p"] for r in ones if not r["telling"]}
-    contexts = pairs.groupBy("u").agg(*[F.sum(f"n{y}").alias(f"s{y}") for y in (0, 1)], *[F.count_if(F.col(f"n{y}") > 0).alias(f"k{y}") for y in (0, 1)])
-    told = pairs.where(telling & (F.col("u") != "")).join(contexts, "u").join(by_word.withColumnRenamed("w", "w2"), F.col("w") == F.col("w2"))
-
-    def bigram(y):
-        s = F.greatest(F.col(f"s{y}"), F.lit(1))
-        own = F.greatest(F.col(f"n{y}") - discount, F.lit(0.0)) / s + discount * F.col(f"k{y}") / s * unigram(y)
-        return F.when(F.col(f"s{y}") > 0, own).otherwise(unigram(y))
-
-    bigrams: dict[str, dict[str, float]] = {}
-    for r in told.select("u", "w", bigram(0).alias("p0"), bigram(1).alias("p1")).collect():
-        bigrams.setdefault(r["u"], {})[r["w"]] = (math.log(r["p1"]), math.log(r["p0"]))
-    model = Model(unigrams, bigrams, others, math.log(0.5 / (whole["left"] + 0.5 * whole["types"])))
+    contexts = pairs.groupBy(F.col("u").alias("w")).agg(*[F.sum(f"n{y}").alias(f"s{y}") for y in (0, 1)], *[F.count_if(F.col(f"n{y}") > 0).alias(f"k{y}") for y in (0, 1)])
+    after = [F.coalesce(c, F.lit(0)).alias(c) for c in ("s0", "s1", "k0", "k1")]
+    # The words and the pairs of the sample, whose size `sample` bounds: 16 bytes each.
+    known = checkpoint(by_word.join(spread, "w").join(contexts, "w", "left").select(F.xxhash64("w").alias("key"), "left", "c0", "c1", "d0", "d1", *after))
+    unigrams, table = places(known, ["left", "c0", "c1", "d0", "d1", "s0", "s1", "k0", "k1"])
+    left, c0, c1, d0, d1, s0, s1, k0, k1 = np.concatenate([table, np.zeros((1, 9))]).T  # the last row is for unknown words
+    follow = weights(evidence(d1, d0, n1, n0), least, steep)
+    # Where weights are all or nothing, words of no weight that stand after one word only are as good as unknown.
+    base = np.where((follow == 0) & (left < 2), 0.0, left) if math.isinf(steep) else left
+    shared = (base + 0.5) / (whole["left"] + 0.5 * whole["types"])
+    single = np.stack([np.maximum(c - discount, 0) / whole[f"c{y}"] + discount * whole[f"t{y}"] / whole[f"c{y}"] * (left + 0.5) / (whole["left"] + 0.5 * whole["types"]) for y, c in ((1, c1), (0, c0))], axis=1)
+    level = np.log(shared)[:, None] + follow[:, None] * (np.log(single) - np.log(shared)[:, None])
+    context = np.stack([s1, s0], axis=1)
+    back = discount * np.stack([k1, k0], axis=1) / np.maximum(context, 1)
+    bigrams, table = places(pairs.where(F.col("u") != "").select(F.xxhash64(F.xxhash64("u"), F.xxhash64("w")).alias("key"), "n0", "n1", "d0", "d1"), ["n0", "n1", "d0", "d1"])
+    m0, m1, e0, e1 = table.T
+    model = Model(unigrams, bigrams, level, single, context, back, np.maximum(np.stack([m1, m0], axis=1) - discount, 0), weights(evidence(e1, e0, n1, n0), least, steep))
     held = Shared(docs.sparkSession, model)
 
     def feature(batches):

@@ -364,6 +364,25 @@ def test_likelihoods_match_brute_force(spark):
     assert model.likelihoods("") == (0.0, 0.0, 0) and model.unigrams and model.bigrams
 
 
+def test_every_expression_of_the_sample_counts(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, steep=toxicity.STEEP)
+    taught = docs.join(labels.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2) & F.col("toxic").isNotNull()), "doc_id", "left_semi").collect()
+    found = [toxicity.words(r["text"] or "") for r in taught]
+    assert len(model.unigrams) == len({w for f in found for w in f})
+    assert len(model.bigrams) == len({p for f in found for p in zip(f, f[1:])})
+    # A word of little evidence, which fell below `least` before, still tells a little.
+    rows = [(i, "scum ka na" if i % 6 == 0 else f"mi po {'faint' if i in (1, 5, 7) else 'lo'}", int(i % 6 == 0)) for i in range(60)]
+    rows = [(i, f"{t} {i}", y) for i, t, y in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    toxic, ordinary, _ = toxicity.fit(df, df, steep=toxicity.STEEP).likelihoods("faint")
+    assert 0 < ordinary - toxic < 0.1
+    toxic, ordinary, _ = toxicity.fit(df, df).likelihoods("faint")
+    assert toxic == ordinary
+
+
 def test_toxicity_scores_keep_the_prior_when_a_class_is_sampled(spark):
     import random
 
