@@ -76,7 +76,12 @@ class Shared:
         return {"data": self.data, "key": self.key}
 
     def value(self):
-        return in_process(self.key, lambda: cloudpickle.loads(self.data.value))
+        return in_process(self.key, self.load)
+
+    def load(self):
+        model = cloudpickle.loads(self.data.value)
+        vars(self.data).pop("_value", None)  # a worker would keep the bytes beside the model
+        return model
 
 
 def trimmed() -> None:

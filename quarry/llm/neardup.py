@@ -1,11 +1,14 @@
 """Groups of near copies by the Jaccard similarity of word shingles.
 
-A text is the set of its hashed shingles.  MinHash bands propose: texts that
-share a band meet in a star, and stars that share a text meet in a candidate
-group, so no row is made for a pair.  Two texts at the similarity 0.8 share
-none of the 40 bands of 5 minima with probability 1.3e-7, less above it.
-Every proposal is checked: a candidate group is flooded by exact Jaccard
-similarity, and only what that reaches is a group.
+A text is the set of its hashed shingles.  The vantage-point tree of
+`simhash` proposes: sets whose SimHash fingerprints differ in at most `radius`
+bits meet in a star.  At similarity 0.8 sets differ in about ten bits, where no
+vantage point parts fingerprints, so MinHash bands propose what lies beyond the
+radius: texts that share a band meet in a star too.  Stars that share a text
+meet in a candidate group, so no row is made for a pair.  Two texts at the
+similarity 0.8 share none of the 40 bands of 5 minima with probability 1.3e-7,
+less above it.  Every proposal is checked: a candidate group is flooded by
+exact Jaccard similarity, and only what that reaches is a group.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm._util import checkpoint, text_slices, tidy
-from quarry.llm.simhash import spread
+from quarry.llm.simhash import majority, spread, stars
 
 SEED = 42
 SLICE = 300_000
@@ -109,7 +112,7 @@ def flood(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return group
 
 
-def near_copies(docs: DataFrame, columns: list[str], shingle: int = 5, similarity: float = 0.8, text_column: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, columns: list[str], shingle: int = 5, similarity: float = 0.8, text_column: str = "text", radius: int = 3) -> DataFrame:
     """The given columns of each row and `group`, equal for rows that links of at least `similarity` join.
 
     The bands are made for similarities of 0.8 and more.  Null texts are empty;
@@ -131,12 +134,16 @@ def near_copies(docs: DataFrame, columns: list[str], shingle: int = 5, similarit
                 counts = np.zeros(len(sets), np.int32)
                 counts[full] = BANDS
                 listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(first, len(texts)) for i in range(len(columns))], pa.array(same), listed], [*columns, "same", "bands"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(first, len(texts)) for i in range(len(columns))], pa.array(same), pa.array(majority(sets).view(np.int64)), listed], [*columns, "same", "fp", "bands"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    marked = checkpoint(read.mapInArrow(tidy(mark), f"{kinds}, same long, bands array<long>"))
-    # Equal sets go on as one; a band that only one set has links nothing.
-    keys = marked.groupBy("same").agg(F.first("bands").alias("bands")).select(F.explode("bands").alias("star"), F.col("same").alias("fp"))
+    marked = checkpoint(read.mapInArrow(tidy(mark), f"{kinds}, same long, fp long, bands array<long>"))
+    # Equal sets go on as one, and have one fingerprint; a star of only one set links nothing.
+    sets_of = marked.groupBy("same").agg(F.first("fp").alias("bits"), F.first("bands").alias("bands"))
+    full = checkpoint(sets_of.where(F.size("bands") > 0).select("same", "bits"))
+    near = checkpoint(stars(checkpoint(full.select(F.col("bits").alias("fp"), F.col("bits").alias("label")).distinct()), radius)).select(F.col("fp").alias("bits"), "centre")
+    by_tree = full.join(near, "bits", "left").select(F.coalesce("centre", "bits").alias("star"), F.col("same").alias("fp")).distinct()
+    keys = by_tree.unionByName(sets_of.select(F.explode("bands").alias("star"), F.col("same").alias("fp")))
     shared = keys.groupBy("star").agg(F.count("*").alias("n")).where("n > 1").select("star")
     member = checkpoint(keys.join(shared, "star").select("star", "fp", F.col("fp").alias("label")))
     proposed = spread(member).select(F.col("fp").alias("same"), "label")

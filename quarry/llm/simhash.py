@@ -83,6 +83,15 @@ def fingerprint(texts: list[str], shingle: int = 3) -> np.ndarray:
     return (np.packbits(2 * ones > n[:, None], axis=1).view(">u8").astype(np.uint64)).reshape(-1)
 
 
+def majority(sets: list[np.ndarray]) -> np.ndarray:
+    """The 64-bit SimHash of each set of hashes: bit b is 1 if over half of them have it."""
+    ones = np.zeros((len(sets), 64), np.int64)
+    for i, s in enumerate(sets):
+        for k in range(0, len(s), BLOCK):
+            ones[i] += np.unpackbits(s[k : k + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return (np.packbits(2 * ones > np.array([[len(s)] for s in sets]).reshape(-1, 1), axis=1).view(">u8").astype(np.uint64)).reshape(-1)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, fp (the fingerprint's 64 bits as a long)."""
 

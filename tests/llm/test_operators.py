@@ -764,6 +764,25 @@ def test_near_dedup_stage_keeps_a_row_of_each_group_on_null_and_repeated_ids(spa
     assert all((math.inf if i is None else i) == least[of[i, t]] for i, t in kept)
 
 
+def test_near_dedup_stage_proposes_by_the_vantage_point_tree(spark, monkeypatch):
+    import random
+
+    import corpus_pipeline
+    from quarry.llm import neardup
+
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(1000)}" for _ in range(2000)) for _ in range(30)]
+    texts += [t.replace(" ", " changed ", 1) for t in texts[:20]] + [None, "", "x"]
+    bits = simhash.majority(neardup.shingles([t or "" for t in texts], 5))
+    assert (np.bitwise_count(bits[:20] ^ bits[30:50]) <= 3).all() and np.bitwise_count(bits[:20] ^ bits[30:50]).any()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.unique(spark, df, "").collect())
+    assert kept == [*range(30), 50, 52]
+    # Without a band in common, the tree still brings these copies together.
+    monkeypatch.setattr(neardup, "bands", lambda sets: np.array([[hash((s.tobytes(), b)) for b in range(neardup.BANDS)] for s in sets], np.int64).view(np.uint64))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.unique(spark, df, "").collect()) == kept
+
+
 def test_backoff(docs, empty):
     got = lm.score(docs, order=3, backoff=0.4, least=2).collect()
     counts, total = {}, 0
