@@ -131,17 +131,23 @@ def text_slices(batch: pa.RecordBatch, column: str, size: int):
     yield from slices(batch.column(batch.schema.get_field_index(column)), size)
 
 
-def slices(texts: pa.Array, size: int):
-    """(first row, texts) of runs of about `size` bytes each; only one run is ever held as Python strings."""
+def array_slices(texts: pa.Array, size: int):
+    """(first row, array) of runs of rows holding about `size` bytes each."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(texts):
         before = ends[start - 1] if start else 0
         end = min(len(texts), int(np.searchsorted(ends, before + size)) + 1)
-        yield start, [t or "" for t in texts.slice(start, end - start).to_pylist()]
+        yield start, texts.slice(start, end - start)
         start = end
 
 
+def slices(texts: pa.Array, size: int):
+    """(first row, texts) of runs of about `size` bytes each; only one run is ever held as Python strings."""
+    for start, some in array_slices(texts, size):
+        yield start, [t or "" for t in some.to_pylist()]
+
+
 def filter_rows(docs: DataFrame, text_column: str, decide, keeps=None) -> DataFrame:
     """The rows, with all their columns, whose text `decide` keeps; decide(texts) gives an array of booleans."""
     at = docs.columns.index(text_column)

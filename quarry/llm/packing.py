@@ -18,13 +18,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._util import checkpoint, in_process, text_slices, tidy
+from quarry.llm._util import array_slices, checkpoint, in_process, tidy
 from quarry.llm.encoding import byte_level, id_dtype
 
-SLICE = 500_000
+#: Bytes of text that are encoded at once, and of ids that are given to Spark at once.
+SLICE, GIVEN = 32_000_000, 500_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -63,14 +65,17 @@ def encoded(docs: DataFrame, path: str, separator: int, special: bool, id_column
 
         part, before = TaskContext.get().partitionId(), 0
         encoder = in_process(own, lambda: byte_level(path, special))
-        end, width = np.array([separator], encoder.dtype).tobytes(), np.dtype(encoder.dtype).itemsize
+        width = np.dtype(encoder.dtype).itemsize
+        end, nothing = (pa.scalar(x, pa.large_binary()) for x in (np.array([separator], encoder.dtype).tobytes(), b""))
         for batch in batches:
-            for first, texts in text_slices(batch, "text", SLICE):
-                ids = [x + end for x in encoder(texts)]
-                n = np.array([len(x) // width for x in ids], np.int64)
+            for first, texts in array_slices(batch.column(1), SLICE):
+                ids = pc.binary_join_element_wise(encoder.encode(texts), end, nothing)
+                n = pc.binary_length(ids).to_numpy() // width
                 starts = before + np.cumsum(n) - n
                 before += int(n.sum())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([part] * len(texts), pa.int32()), pa.array(starts), pa.array(ids, pa.binary()), pa.array(n)], ["doc_id", "part", "before", "ids", "n"])
+                rows = pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([part] * len(texts), pa.int32()), pa.array(starts), ids.cast(pa.binary()), pa.array(n)], ["doc_id", "part", "before", "ids", "n"])
+                for at, some in array_slices(ids, GIVEN):
+                    yield rows.slice(at, len(some))
 
     read = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     return checkpoint(read.mapInArrow(tidy(encode, own), "doc_id long, part int, before long, ids binary, n long"))
