@@ -26,7 +26,7 @@ MEMO_LENGTH = 48
 #: What a key and its bytes take besides their characters: two objects' heads and a place in the table.
 ENTRY = 180
 #: Runs that are encoded at once, and pre-tokens whose merges are.
-AT_ONCE, TOGETHER = 200_000, 64
+AT_ONCE, TOGETHER = 20_000, 64
 
 
 class Memo(dict):
